@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD, broadcast_if_small
 from tidemark.workspace import materialise
 
-HASH_BITS, STEP_BITS = 60, 15
+HASH_BITS, STEP_BITS = 60, 12
 WEIGHTS = (5, 2, 1)
 
 
