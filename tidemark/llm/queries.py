@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, mixing, rules, simhash
+from tidemark.llm import bpe, exact_dedup, langid, lbl, mixing, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_log_bilinear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
     "op3_language_id": op3_language_id,
+    "op4_log_bilinear_score": op4_log_bilinear_score,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_duplicates": op6_exact_duplicates,
     "op7_byte_bpe": op7_byte_bpe,
