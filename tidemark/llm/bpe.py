@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,42 +30,54 @@ LOOK_AHEAD = 3
 SHORT = 64
 
 #: Pre-tokens whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+
+#: Stands for the rank of a pair that is not in the vocabulary.
+NONE = 1 << 40
+
+#: Rows whose ids a task holds before it passes them on.
+ROWS = 500
 
 
 class Vocabulary(dict):
-    """Maps a pre-token to its ids, remembering what it has worked out. ``raw``: lines of base64 bytes and rank."""
+    """Maps a pre-token to its ids as int32 bytes, remembering what it has worked out. ``raw``: lines of base64 bytes and rank."""
 
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
-        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.remembered = 0
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+        known = [self.ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)]
+        self.first_pairs, self.single = known, [bytes((b,)) for b in range(256)]
+        tokens = dict(zip(self.ranks.values(), self.ranks, strict=True))
+        pool = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
+        self.pool, self.lengths = np.frombuffer(b"".join(pool), np.uint8), np.array([len(t) for t in pool], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.pattern = regex.compile(pattern)
+
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[piece] = ids = self.merge(piece.encode())
+        ids = np.array(self.merge(piece.encode()), np.int32).tobytes()
+        if len(piece) <= SHORT:
+            self[piece] = ids
         return ids
 
-    def merge(self, raw: bytes) -> tuple[int, ...]:
+    def merge(self, raw: bytes) -> list[int]:
         """Join the adjacent pair of lowest rank, the leftmost first, until no pair is in the vocabulary."""
         ranks = self.ranks
         if raw in ranks:
-            return (ranks[raw],)
+            return [ranks[raw]]
         if len(raw) <= SHORT:
-            none, get = 1 << 60, ranks.get
-            parts = [raw[i : i + 1] for i in range(len(raw))]
-            pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-            while pairs and (least := min(pairs)) < none:
+            get, first = ranks.get, self.first_pairs
+            parts = list(map(self.single.__getitem__, raw))
+            pairs = [first[a << 8 | b] for a, b in zip(raw, raw[1:], strict=False)]
+            while pairs and (least := min(pairs)) != NONE:
                 i = pairs.index(least)
-                parts[i] += parts.pop(i + 1)
+                joined = parts[i] = parts[i] + parts.pop(i + 1)
                 del pairs[i]
                 if i:
-                    pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+                    pairs[i - 1] = get(parts[i - 1] + joined, NONE)
                 if i < len(pairs):
-                    pairs[i] = get(parts[i] + parts[i + 1], none)
-            return tuple(map(ranks.__getitem__, parts))
+                    pairs[i] = get(joined + parts[i + 1], NONE)
+            return list(map(ranks.__getitem__, parts))
         ends = list(range(1, len(raw) + 1))  # ends[i]: where the part that starts at i ends, 0 if none starts there
         before = list(range(-1, len(raw) - 1))
         queue = [(rank, i, i + 2) for i in range(len(raw) - 1) if (rank := ranks.get(raw[i : i + 2])) is not None]
@@ -87,17 +98,21 @@ class Vocabulary(dict):
         while at < len(raw):
             ids.append(ranks[raw[at : ends[at]]])
             at = ends[at]
-        return tuple(ids)
+        return ids
 
     def encode(self, text: str, upto: int | None = None) -> np.ndarray:
         """The ids of ``text``, or of its pre-tokens up to the boundary ``upto``, with what follows as context only."""
         pieces = self.pattern.findall(text)
         if upto is not None:
             pieces = pieces[: np.searchsorted(np.cumsum([len(p) for p in pieces]), upto, side="right")]
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, pieces)), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes, concatenated: each is copied from its place in one pool of all tokens."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        shift = np.repeat(self.begins[ids] - (ends - lengths), lengths)
+        return self.pool[shift + np.arange(len(shift))].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -138,8 +153,9 @@ class ByteBpe:
         def run(batches):
             words = vocabulary(raw.value, pattern)
             for batch in batches:
-                ids = _ids_column([words.encode(x.as_py()) for x in batch.column(1)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
+                for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
+                    ids = _ids_column([words.encode(x.as_py()) for x in part.column(1)])
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids], [key, "ids"])
 
         return rows.select(key, "text").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, ids array<int>")
 
@@ -212,10 +228,10 @@ class ByteBpe:
         """``encoded`` with a binary column ``into``: the tokens' bytes, concatenated. Null ids give null."""
         raw, pattern = self.raw, self.pattern
 
-        @F.pandas_udf("binary")
-        def decoded(ids):
+        @F.arrow_udf("binary")
+        def decoded(ids: pa.Array) -> pa.Array:
             words = vocabulary(raw.value, pattern)
-            return ids.map(lambda x: None if x is None else words.decode(x.tolist()))
+            return pa.array([words.decode(x.values.to_numpy()) if x.is_valid else None for x in ids], pa.binary())
 
         return encoded.withColumn(into, decoded(F.col(ids_col)))
 
