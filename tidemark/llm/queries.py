@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, lbl, mixing, rules, simhash, urls
+from tidemark.llm import bpe, exact_dedup, langid, lbl, lines, mixing, rules, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "line_counts.lines_in", "line_counts.lines_out", "text")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op6_exact_duplicates": op6_exact_duplicates,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filter": op8_url_filter,
+    "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 

@@ -25,13 +25,8 @@ MOST, SEGMENTS, SEGMENT_BITS, SEED = 2, 2, 32, 42
 LARGE_BLOCK = 2_000
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of the ``words``-word shingles of ``text`` with A-Z lower-cased, as a signed 64-bit integer."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of some 64-bit hashes as a signed integer: a bit is 1 if it is set in over half of them."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         block = hashes[at : at + 65_536]
@@ -39,6 +34,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of the ``words``-word shingles of ``text`` with A-Z lower-cased; 0 where there is no word."""
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return 0
+    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp for each row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -64,7 +68,7 @@ def _variants(fp: Column, segment: int) -> list[Column]:
 def links(distinct_fps: DataFrame, large_block: int = LARGE_BLOCK) -> DataFrame:
     """u, v: links between the fingerprints of ``distinct_fps`` (column fp) that connect what links at MOST bits connect.
 
-    Blocks of up to ``large_block`` fingerprints give each link once. In a larger block, members already agree on the
+    Blocks of up to ``large_block`` fingerprints give each of their links once. In a larger block, members already agree on the
     segment but for one bit, so each gets the variants of the other segment as well, and what shares such a variant
     differs by two bits at most: linking it to its least member loses no connection and makes no pairs.
     """
