@@ -7,47 +7,68 @@ lies from its rank in the language's, or the profile's length where that lacks i
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import lru_cache
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.workspace import materialise
 
-LONGEST_GRAM, PROFILE = 3, 400
+PROFILE = 400
 UNKNOWN = "und"
 
-#: Profiles are sent to every task: PROFILE short strings for each of at most so many languages.
+#: Profiles are sent to every task: PROFILE numbers for each of at most so many languages.
 MOST_LANGUAGES = 2_000
 
-#: Distinct words that a task counts before it passes their n-grams on.
-WORDS_HELD = 100_000
+#: n-grams are counted in blocks of so many characters, and passed on when a task holds so many distinct ones.
+BLOCK, HELD = 1 << 20, 200_000
 
-LETTERS = regex.compile(r"\p{L}+")
+SPACE, CHAR_BITS = 32, 21
 
 
-@lru_cache(maxsize=100_000)
-def grams(word: str) -> tuple[str, ...]:
-    padded = f" {word} "
-    return tuple(g for n in range(1, LONGEST_GRAM + 1) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+@cache
+def _letters() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
 
 
-def gram_counts(words: Counter) -> dict[str, int]:
-    counts: dict[str, int] = {}
-    for word, n in words.items():
-        for g in grams(word) if len(word) < 64 else grams.__wrapped__(word):
-            counts[g] = counts.get(g, 0) + n
-    return counts
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, counts) of one to three characters of the lower-cased words of ``text``, each padded by a space.
 
-
-def profile(counts: dict[str, int], size: int = PROFILE) -> list[str]:
-    """The most frequent n-grams; ties in the order of their code points."""
-    return sorted(sorted(counts), key=counts.get, reverse=True)[:size]
+    A word is a run of letters. An n-gram is a number of 21 bits a character, so that numbers sort as the n-grams do.
+    """
+    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[chars]
+    starts = letter & ~np.concatenate([[False], letter[:-1]])
+    at = np.flatnonzero(letter)
+    if not len(at):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    # Each letter moves right by the number of words begun so far, which leaves one space before every word.
+    padded = np.full(len(at) + int(starts.sum()) + 1, SPACE, np.uint64)
+    padded[np.arange(len(at)) + np.cumsum(starts)[at]] = chars[at]
+    found, counts = [], []
+    for begin in range(0, len(padded), BLOCK):
+        a, b, c = (padded[begin + i : begin + i + BLOCK] for i in range(3))
+        one = a[a != SPACE] << np.uint64(2 * CHAR_BITS)
+        two = (a[: len(b)] << np.uint64(2 * CHAR_BITS)) | (b << np.uint64(CHAR_BITS))
+        three = (two[: len(c)] | c)[b[: len(c)] != SPACE]
+        grams, n = np.unique(np.concatenate([one, two, three]), return_counts=True)
+        found.append(grams)
+        counts.append(n)
+    return (found[0], counts[0]) if len(found) == 1 else _added(found, counts)
+
+
+def _added(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, where = np.unique(np.concatenate(grams), return_inverse=True)
+    return distinct, np.bincount(where, np.concatenate(counts)).astype(np.int64)
+
+
+def profile(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
+    """The most frequent of the sorted ``grams``; ties in the order of their code points."""
+    return grams[np.argsort(-counts, kind="stable")[:size]]
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
@@ -55,35 +76,42 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> list[tuple[str, list[str]]]:
+def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> list[tuple[str, list[int]]]:
     """(lang, profile) for each non-null language of ``docs``, in the order of the languages' code points.
 
     Every document and whole text counts; null texts and texts without letters add nothing. An empty table gives no profile.
     """
 
     def count(batches):
-        held: dict[str, Counter] = {}
+        held: dict[str, list] = {}
+
+        def total(lang):
+            held[lang] = [_added(*zip(*held[lang], strict=True))]
+            return len(held[lang][0][0])
 
         def flush():
-            rows = [(lang, g, n) for lang, words in held.items() for g, n in gram_counts(words).items()]
+            for lang in held:
+                total(lang)
+                grams, n = held[lang][0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
             held.clear()
-            langs, gs, ns = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(gs, pa.string()), pa.array(ns, pa.int64())], ["lang", "gram", "n"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            if sum(map(len, held.values())) > WORDS_HELD:
-                yield flush()
-        yield flush()
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                held.setdefault(lang.as_py(), []).append(gram_counts(text.as_py()))
+                if len(held[lang.as_py()]) > 500:
+                    total(lang.as_py())
+            if sum(total(lang) for lang in held) > HELD:
+                yield from flush()
+        yield from flush()
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    totals = rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = materialise(totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "rank", "gram"), "profiles")
     if top.select("lang").distinct().count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: their profiles are too many to send to every task")
-    found: dict[str, list[str]] = {}
+    found: dict[str, list[int]] = {}
     for lang, _, gram in sorted(top.collect(), key=lambda r: (r["lang"].encode(), r["rank"])):
         found.setdefault(lang, []).append(gram)
     return list(found.items())
@@ -92,27 +120,27 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 class Predictor:
     """Nearest profile; with equal distances the first language by code point."""
 
-    def __init__(self, profiles: list[tuple[str, list[str]]], size: int = PROFILE):
+    def __init__(self, profiles: list[tuple[str, list[int]]], size: int = PROFILE):
         self.langs, self.size = [lang for lang, _ in profiles], size
-        self.row = {g: i for i, g in enumerate(sorted({g for _, p in profiles for g in p}))}
-        self.ranks = np.full((len(self.row) + 1, len(profiles)), -1, dtype=np.int32)
+        self.grams = np.unique(np.array([g for _, p in profiles for g in p], np.uint64))
+        self.ranks = np.full((len(self.grams) + 1, len(profiles)), -1, np.int32)  # the last row is for unknown n-grams
         for k, (_, p) in enumerate(profiles):
-            for rank, g in enumerate(p):
-                self.ranks[self.row[g], k] = rank
+            self.ranks[np.searchsorted(self.grams, np.array(p, np.uint64)), k] = np.arange(len(p))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is 1 less the distance's share of the largest possible one."""
-        words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words or not self.langs:
+        own = profile(*gram_counts(text), self.size) if text else ()
+        if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        own = profile(gram_counts(words), self.size)
-        there = self.ranks[[self.row.get(g, -1) for g in own]]
+        at = np.searchsorted(self.grams, own)
+        at[self.grams[np.minimum(at, len(self.grams) - 1)] != own] = len(self.grams)
+        there = self.ranks[at]
         away = np.where(there < 0, self.size, np.abs(there - np.arange(len(own), dtype=np.int32)[:, None])).sum(axis=0)
         best = int(away.argmin())
         return self.langs[best], float(1 - away[best] / (self.size * len(own)))
 
 
-def predicted(text: Column, spark, profiles: list[tuple[str, list[str]]]) -> Column:
+def predicted(text: Column, spark, profiles: list[tuple[str, list[int]]]) -> Column:
     """struct<lang_pred, score> for ``text``: ``und`` and 0 where it is null or has no letter, or no language is known."""
     shared = spark.sparkContext.broadcast(profiles)
     made: list[Predictor] = []
