@@ -164,3 +164,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     profiles = learn_profiles(docs.where(~out), lang_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), predicted(F.col(text_col), docs.sparkSession, profiles).alias("found"))
     return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text resembles some language of ``docs``: a score of ``least`` or more.
+
+    Null texts and texts without letters are unidentified, and so is what stays further from every profile than prose does.
+    Where no document has a language, nothing can be learned and only texts without letters go.
+    """
+    profiles = learn_profiles(docs, lang_col, text_col)
+    if not profiles:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    return docs.where(predicted(docs[text_col], docs.sparkSession, profiles)["score"] >= least)

@@ -71,20 +71,42 @@ def hash_thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return budgets.join(found, F.col("source").eqNullSafe(F.col("of")), "left").select("source", whole.alias("threshold"))
 
 
+def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
+    """of (the source), source_size, target, base, threshold: a document of the source is taken ``base`` times, and once more
+    if its hash is below ``threshold``. ``sizes``: source, size, hash."""
+    targets = materialise(source_targets(sizes, weights, share), "targets")
+    once = F.col("target") >= F.col("source_size")
+    budgets = targets.select("source", F.when(once, F.col("target") - F.col("source_size")).otherwise(F.col("target")).alias("budget"))
+    thresholds = hash_thresholds(sizes, budgets).select(F.col("source").alias("of"), "threshold")
+    plan = targets.join(thresholds, F.col("source").eqNullSafe(F.col("of")))
+    return materialise(plan.select(F.col("source").alias("of"), "source_size", "target", once.cast("int").alias("base"), "threshold"), "mix-plan")
+
+
+def copies() -> Column:
+    """How often a document is taken, over the columns of a mix plan and the document's hash."""
+    return F.col("base") + (F.col("hash") < F.col("threshold")).cast("int")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken (= size x copies, copies 0 to 2).
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken (= size x copies, copies 0 to 2).
 
     Null text has size 0. A null source is a source of its own, the last. Rows that repeat an id (or have none) hash alike
     and are taken together. A source whose boundary document is large misses its target by at most half that document.
     Other columns are ignored, an empty table gives an empty result. The choice depends on ids and sizes only, so reruns agree.
     """
-    sizes = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("hash")), "sizes")
-    targets = materialise(source_targets(sizes, weights, share), "targets")
-    once = F.col("target") >= F.col("source_size")
-    budgets = targets.select("source", F.when(once, F.col("target") - F.col("source_size")).otherwise(F.col("target")).alias("budget"))
-    thresholds = hash_thresholds(sizes, budgets)
-    plan = targets.join(thresholds.select(F.col("source").alias("of"), "threshold"), F.col("source").eqNullSafe(F.col("of")))
-    plan = materialise(plan.select(F.col("source").alias("of"), "source_size", "target", once.cast("int").alias("base"), "threshold"), "mix-plan")
-    copies = F.col("base") + (F.col("hash") < F.col("threshold")).cast("int")
-    mixed = sizes.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("of")))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    sizes = _sizes(docs, id_col, text_col, source_col)
+    mixed = sizes.join(broadcast_if_small(mix_plan(sizes, weights, share)), F.col("source").eqNullSafe(F.col("of")))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", copies().alias("copies"), (F.col("size") * copies()).alias("taken"))
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("hash")), "sizes")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as ``mix`` takes it: not at all, once or twice."""
+    plan = broadcast_if_small(mix_plan(_sizes(docs, id_col, text_col, source_col)))
+    # Rows travel as one struct, so that no name of theirs can clash.
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(source_col).alias("source"), hash60(F.col(id_col)).alias("hash"))
+    taken = whole.join(plan, F.col("source").eqNullSafe(F.col("of"))).where(copies() > 0)
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), copies())).alias("copy")).select("doc.*")

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import broadcast_if_small
 from tidemark.llm.components import connected_components
 from tidemark.workspace import materialise
 
@@ -44,15 +45,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id, fp for each row of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, row (a hash of id and text), fp for each row of ``docs``."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_hash(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(x.as_py(), words) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, fp long")
+
+
+def row_hash(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(docs[id_col], docs[text_col])
 
 
 def _segment(fp: Column, segment: int) -> Column:
@@ -102,7 +107,7 @@ def links(distinct_fps: DataFrame, large_block: int = LARGE_BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, large_block: int = LARGE_BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
+    """One row per row of ``docs``: doc_id, row, fp, component_id (the smallest doc_id reachable over links, itself included).
 
     Null, empty and blank texts have fingerprint zero and link like any other. Rows that repeat an id are each returned.
     A component whose ids are all null has a null component_id. Other columns are ignored; an empty table gives no rows.
@@ -111,11 +116,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     groups = materialise(connected_components(links(distinct.select("fp"), large_block)), "groups")
     member = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = member.where(F.col("component") != F.col("fp")).groupBy("component").agg(F.min("first_id").alias("least_id"))
-    found = member.join(least, "component", "left").select("fp", F.least("first_id", "least_id").alias("own_least"), "component")
-    roots = found.where(F.col("component") == F.col("fp")).select("component", F.col("own_least").alias("component_id"))
-    ids = materialise(member.join(roots, "component").select(F.col("fp").alias("of"), "component_id"), "component-ids")
-    return prints.join(ids, prints["fp"] == ids["of"]).select("doc_id", "fp", "component_id")
+    least = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    ids = materialise(member.join(least, "component").select(F.col("fp").alias("of"), "component_id"), "component-ids")
+    return prints.join(ids, prints["fp"] == ids["of"]).select("doc_id", "row", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those of a component whose id is not its smallest (a null id: unless all are null)."""
+    found = near_duplicates(docs, id_col, text_col)
+    gone = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("gone")).distinct(), "removed-rows")
+    return docs.join(broadcast_if_small(gone), row_hash(docs, id_col, text_col) == gone["gone"], "left_anti")
 
 
 def fingerprint_hex(fp: Column) -> Column:
