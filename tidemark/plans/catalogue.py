@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 FLAGSHIP = "a16_rule_funnel"
+
+PARTS = ("ingest",)
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _part in PARTS:
+    _module = import_module(f"tidemark.plans.{_part}")
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
