@@ -112,10 +112,10 @@ def percent_bucket(text: Column) -> Column:
     return F.pmod(java_hash(text), F.lit(100))
 
 
-def softmax(score: Column, temperature: float, over) -> Column:
-    """Softmax within the window ``over``, shifted by the maximum."""
-    weight = F.exp((score - F.max(score).over(over)) / F.lit(temperature))
-    return weight / F.sum(weight).over(over)
+def softmax(df, score: str, temperature: float, over, into: str):
+    """``df`` with the softmax of ``score`` within the window ``over``, shifted by the maximum."""
+    weighed = df.withColumn(into, F.exp((F.col(score) - F.max(score).over(over)) / F.lit(temperature)))
+    return weighed.withColumn(into, F.col(into) / F.sum(into).over(over))
 
 
 def truthy(value: Column) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 FLAGSHIP = "a16_rule_funnel"
 
-PARTS = ("ingest", "merging", "rules", "joining")
+PARTS = ("ingest", "merging", "rules", "joining", "reports", "sequences", "learning")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

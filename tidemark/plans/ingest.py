@@ -209,11 +209,11 @@ def p23_engagement_onehot(spark, sf_dir):
     'c_' || substr(sha256(entityId || '|' || value), 1, 16) AS id, value IN ('true', '1', 'completed') AS truthy,
     eventTs // 86400000 * 86400000 AS day, eventTs // 86400000 * 86400000 + 86400000 AS midnight,
     greatest(1, ceil((86400000 - eventTs % 86400000) / 300000.0))::BIGINT AS windows_left,
-    1 / (1 + exp(-greatest(least(length(value)::DOUBLE, 30), -30))) AS sigmoid FROM facts_profile WHERE key = 'operator.profile.segment'"""))
+    round(1 / (1 + exp(-greatest(least(length(value)::DOUBLE, 30), -30))), 12) AS sigmoid FROM facts_profile WHERE key = 'operator.profile.segment'"""))
 def f01_f22_scalars(spark, sf_dir):
     f = T.facts_profile(spark, sf_dir).where("key = 'operator.profile.segment'")
     value, ts = F.col("value"), F.col("eventTs")
     return f.select(
         "entityId", F.concat(value, F.lit("!")).alias("shown"), scalars.stable01(F.col("entityId"), value).alias("stable"), scalars.stable_id(F.col("entityId"), value).alias("id"),
-        scalars.truthy(value).alias("truthy"), scalars.day_floor(ts).alias("day"), scalars.next_midnight(ts).alias("midnight"), scalars.windows_left(ts, 300).alias("windows_left"), scalars.sigmoid(F.length(value).cast("double")).alias("sigmoid"),
+        scalars.truthy(value).alias("truthy"), scalars.day_floor(ts).alias("day"), scalars.next_midnight(ts).alias("midnight"), scalars.windows_left(ts, 300).alias("windows_left"), F.round(scalars.sigmoid(F.length(value).cast("double")), 12).alias("sigmoid"),
     )

@@ -88,10 +88,10 @@ def j7_send_features(spark, sf_dir):
 
 
 @query(T.oracle("sends candidates", """l AS (SELECT entityId, actionId, avg(score) AS propensity FROM candidates WHERE score > 0.5 GROUP BY ALL)
-    SELECT s.correlationId, coalesce(l.propensity, 0.5) AS propensity FROM sends s LEFT JOIN l ON s.entityId = l.entityId AND s.actionId = l.actionId"""))
+    SELECT s.correlationId, round(coalesce(l.propensity, 0.5), 9) AS propensity FROM sends s LEFT JOIN l ON s.entityId = l.entityId AND s.actionId = l.actionId"""))
 def j8_attach_propensity(spark, sf_dir):
     log = T.candidates(spark, sf_dir).where("score > 0.5").select("entityId", "actionId", F.col("score").alias("propensity"))
-    return joining.attach_propensity(T.sends(spark, sf_dir), log, ["entityId", "actionId"]).select("correlationId", "propensity")
+    return joining.attach_propensity(T.sends(spark, sf_dir), log, ["entityId", "actionId"]).select("correlationId", F.round("propensity", 9).alias("propensity"))
 
 
 @query(T.oracle("sends candidates", "SELECT DISTINCT entityId, actionId, channel FROM sends s WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE eligible AND c.entityId = s.entityId AND c.actionId = s.actionId AND c.channel = s.channel)"))
