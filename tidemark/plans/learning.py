@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import softmax
 from tidemark.operators import learning
 from tidemark.operators.ingest import pivot_features
+from tidemark.plans import rules as rules_plan
 from tidemark.plans.ingest import FEATURES
 from tidemark.plans.register import Register
 from tidemark.sources import tables as T
@@ -253,3 +254,61 @@ def m6_behaviour_clone(spark, sf_dir):
     model = learning.behaviour_clone(p, 2)
     return model.transform(p.withColumn("features", array_to_vector("obs"))).select("touchId", "arm", F.col("prediction").cast("int").alias("cloned"))
 
+
+
+FEATURE_SQL = "f AS (SELECT entityId, max(CASE WHEN key LIKE '%isDNC' THEN (value = 'true')::INT END)::DOUBLE AS isDNC, max(CASE WHEN key LIKE '%smsConsent' THEN (value = 'true')::INT END)::DOUBLE AS smsConsent, max(CASE WHEN key LIKE '%balance' THEN value::DOUBLE END) AS balance FROM facts_profile GROUP BY ALL)"
+
+
+@query(T.oracle("facts_profile", FEATURE_SQL + " SELECT entityId, isDNC, smsConsent, balance, 0.0::DOUBLE AS segment FROM f"))
+def m1_parse_features(spark, sf_dir):
+    from tidemark.operators.sequences import fold_snapshots
+    from tidemark.operators.serving import parse_features
+
+    s = fold_snapshots(T.facts_profile(spark, sf_dir), ["entityId"])
+    return s.select("entityId", *(c.alias(n) for n, c in parse_features(F.col("factsJson"), FEATURES).items()))
+
+
+@query("""WITH m AS (SELECT c_custkey, (c_custkey % 2)::DOUBLE AS r, (c_custkey % 3 = 0)::INT::DOUBLE AS g, (c_custkey % 5 = 0)::INT::DOUBLE AS h, (c_custkey % 25)::DOUBLE AS w FROM customer)
+    SELECT c_custkey, r + g + h + (g * h) + least(w, 18) / 18 + r + g + h + w AS total, 4 + 2 + 5 + 1 AS width FROM m""")
+def p32_build_obs(spark, sf_dir):
+    key = F.col("c_custkey")
+    base = {"respondedToOutreach": key % 2, "registeredForPortal": (key % 3 == 0).cast("int"), "hraCompleted": (key % 5 == 0).cast("int"), "totalThisWeek": key % 25}
+    pair = (key % 15 == 0).cast("int")
+    rest = {"pcpSelected": pair, "careTeamEngaged": pair, "awvCompleted": F.lit(0), "medAdherent": F.lit(0), "mammogramDone": F.lit(0), "opened_email": F.lit(0), "ignored_email": F.lit(0)}
+    c = T.read(spark, sf_dir, "customer").select("c_custkey", *(v.cast("double").alias(n) for n, v in {**base, **rest}.items()))
+    obs = learning.build_obs(c, list(base), ["opened_email", "ignored_email"], "totalThisWeek")
+    return obs.select("c_custkey", F.aggregate("obs", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("obs").alias("width"))
+
+
+@query(T.oracle("facts_events facts_profile", rules_plan.MEMBERS + """, h AS (SELECT entityId, 'action_1' AS actionId, 'email' AS channel FROM g WHERE NOT dnc UNION ALL SELECT entityId, 'action_1', 'sms' FROM g WHERE NOT dnc AND consent
+        UNION ALL SELECT entityId, 'action_2', 'sms' FROM g WHERE NOT dnc AND browsing AND errors <= 8 AND consent UNION ALL SELECT entityId, 'action_2', 'push' FROM g WHERE NOT dnc AND browsing AND errors <= 8 UNION ALL SELECT entityId, 'action_3', 'mail' FROM g WHERE NOT dnc),
+    s AS (SELECT *, (('0x' || substr(md5(entityId || '|' || actionId || '|' || channel), 1, 8))::BIGINT / 4294967295::DOUBLE) AS score FROM h WHERE entityId LIKE '%3')
+    SELECT entityId, actionId, channel, place FROM (SELECT *, row_number() OVER (PARTITION BY entityId ORDER BY score DESC, actionId, channel) AS place FROM s) WHERE place <= 2"""))
+def m15_m16_decide(spark, sf_dir):
+    from tidemark.functions.scalars import stable01
+    from tidemark.operators.serving import decide
+
+    gold = T.facts_events(spark, sf_dir).unionByName(T.facts_profile(spark, sf_dir))
+    asked = T.facts_profile(spark, sf_dir).where("entityId like '%3'").select("entityId").distinct()
+    request = asked.select("entityId", F.lit("operator.activity.purchase").alias("key"), F.lit("99").alias("value"), F.lit(T.NOW_MS).alias("eventTs"))
+    scorer = lambda df: df.withColumn("score", stable01(F.col("entityId"), F.col("actionId"), F.col("channel")))
+    return decide(request, gold, rules_plan.DEFS, scorer, 2).select("entityId", "actionId", "channel", "place")
+
+
+@query(T.oracle("candidates", "SELECT entityId AS nbaId, actionId, channel, correlationId, score AS base_score, score + 0.5 AS emit_score, 0.25::DOUBLE AS propensity, 0.3::DOUBLE AS temperature, evaluatedAt FROM candidates WHERE eligible"))
+def m13_log_predictions(spark, sf_dir):
+    from tidemark.operators.serving import log_predictions
+
+    c = T.candidates(spark, sf_dir).where("eligible").withColumns({"emit": F.col("score") + 0.5, "propensity": F.lit(0.25)})
+    return log_predictions(c, 0.3, T.NOW_MS).drop("scoredAt")
+
+
+@query(T.oracle("touches fact_history", "SELECT key || ' = ' || value AS line FROM fact_history WHERE key LIKE 'nba.score.%' UNION ALL SELECT 'CREATE ' || actionId FROM touches"))
+def p34_summaries(spark, sf_dir):
+    from tidemark.operators.serving import summarize
+
+    none = F.lit(None).cast("string")
+    f = T.fact_history(spark, sf_dir).where("key like 'nba.score.%'")
+    facts = f.select(summarize(F.lit("nba.member.facts"), {"op": none, "name": none, "key": F.col("key"), "value": F.col("value"), "n": F.lit(0)}).alias("line"))
+    acts = T.touches(spark, sf_dir).select(summarize(F.lit("nba.activations"), {"op": F.lit("CREATE"), "name": F.col("actionId"), "key": none, "value": none, "n": F.lit(0)}).alias("line"))
+    return facts.unionByName(acts)
