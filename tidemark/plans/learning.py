@@ -209,12 +209,12 @@ def m10_f15_playbook_score(spark, sf_dir):
 
 @query(T.oracle("facts_profile", """f AS (SELECT entityId, max(CASE WHEN key LIKE '%isDNC' AND value = 'true' THEN 1.0 ELSE 0.0 END) AS d, max(CASE WHEN key LIKE '%smsConsent' AND value = 'true' THEN 1.0 ELSE 0.0 END) AS s, max(CASE WHEN key LIKE '%balance' THEN value::DOUBLE END) / 1000 AS b FROM facts_profile GROUP BY ALL),
     h AS (SELECT entityId, (d - 0.1) / 0.5 AS x0, (s - 0.8) / 0.5 AS x1, (b - 4) / 3 AS x2 FROM f), y AS (SELECT entityId, greatest(0, x0 - x1 + 0.1) AS h0, greatest(0, 0.5 * x2 + 0.2) AS h1 FROM h)
-    SELECT entityId, round((h0 - h1)::DOUBLE, 6) AS hold, round((0.5 * h0 + 0.25 * h1 + 0.3)::DOUBLE, 6) AS email FROM y"""))
+    SELECT entityId, round((h0 - h1)::DOUBLE, 10) AS hold, round((0.5 * h0 + 0.25 * h1 + 0.3)::DOUBLE, 10) AS email FROM y"""))
 def m7_qnet_score(spark, sf_dir):
     p = pivot_features(T.facts_profile(spark, sf_dir), "entityId", FEATURES)
     artifact = {"obs_mean": [0.1, 0.8, 4.0], "obs_std": [0.5, 0.5, 3.0], "layers": [{"W": [[1.0, 0.0], [-1.0, 0.0], [0.0, 0.5]], "b": [0.1, 0.2]}, {"W": [[1.0, 0.5], [-1.0, 0.25]], "b": [0.0, 0.3]}]}
     scored = learning.qnet_score(p.withColumn("obs", F.array("isDNC", "smsConsent", F.col("balance") / 1000)), artifact)
-    return scored.select("entityId", F.round(F.get("q", F.lit(0)), 6).alias("hold"), F.round(F.get("q", F.lit(1)), 6).alias("email"))
+    return scored.select("entityId", F.round(F.get("q", F.lit(0)), 10).alias("hold"), F.round(F.get("q", F.lit(1)), 10).alias("email"))
 
 
 @query(T.oracle("sends", EXAMPLES + """, v AS (SELECT channel IN ('email', 'sms') AS champ, sum(label / greatest(propensity, 0.05)) / sum(1 / greatest(propensity, 0.05)) AS value FROM x GROUP BY ALL)

@@ -113,7 +113,7 @@ def fact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     external = t.where("touchId % 4 = 0").select(_fact(F.col("entityId"), F.concat(F.lit("comms.sent."), "channel"), F.lit("1"), F.lit("LONG"), F.col("ts"), "vendor"))
     raw = F.when(F.col("touchId") % 3 == 0, "Opened").when(F.col("touchId") % 11 == 1, "Unsubscribe").otherwise("Delivered")
     responded = t.where("touchId % 5 = 1").select(_fact(F.col("entityId"), F.concat_ws(".", F.lit("nba.disposition"), "actionId", "channel"), raw, F.lit("STRING"), F.col("ts") + HOUR_MS, "action-layer"))
-    scored = t.where("touchId % 6 = 2").select(_fact(F.col("entityId"), F.concat_ws(".", F.lit("nba.score"), "actionId", "channel"), F.round(stable01(F.col("entityId"), F.col("actionId"), F.col("channel")), 4).cast("string"), F.lit("DOUBLE"), F.col("ts") + 1000, "ml"))
+    scored = t.where("touchId % 6 = 2").select(_fact(F.col("entityId"), F.concat_ws(".", F.lit("nba.score"), "actionId", "channel"), F.round(stable01(F.col("entityId"), F.col("actionId"), F.col("channel")), 4).cast("decimal(5,4)").cast("string"), F.lit("DOUBLE"), F.col("ts") + 1000, "ml"))
     return facts_events(spark, sf_dir).unionByName(facts_profile(spark, sf_dir)).unionByName(sent).unionByName(external).unionByName(responded).unionByName(scored)
 
 
@@ -162,7 +162,7 @@ SQL = {
         UNION ALL SELECT 'OPERATOR', "entityId", 'nba.actionstate.' || "actionId" || '.' || channel, CASE WHEN "touchId" % 10 = 3 THEN 'FAILED' ELSE 'IN_PROCESS' END, 'STRING', ts, 'temporal' FROM touches WHERE "touchId" % 4 <> 0
         UNION ALL SELECT 'OPERATOR', "entityId", 'comms.sent.' || channel, '1', 'LONG', ts, 'vendor' FROM touches WHERE "touchId" % 4 = 0
         UNION ALL SELECT 'OPERATOR', "entityId", 'nba.disposition.' || "actionId" || '.' || channel, CASE WHEN "touchId" % 3 = 0 THEN 'Opened' WHEN "touchId" % 11 = 1 THEN 'Unsubscribe' ELSE 'Delivered' END, 'STRING', ts + {HOUR_MS}, 'action-layer' FROM touches WHERE "touchId" % 5 = 1
-        UNION ALL SELECT 'OPERATOR', "entityId", 'nba.score.' || "actionId" || '.' || channel, round({_stable01_sql('"entityId"', '"actionId"', 'channel')}, 4)::VARCHAR, 'DOUBLE', ts + 1000, 'ml' FROM touches WHERE "touchId" % 6 = 2""",
+        UNION ALL SELECT 'OPERATOR', "entityId", 'nba.score.' || "actionId" || '.' || channel, round({_stable01_sql('"entityId"', '"actionId"', 'channel')}, 4)::DECIMAL(5,4)::VARCHAR, 'DOUBLE', ts + 1000, 'ml' FROM touches WHERE "touchId" % 6 = 2""",
     "candidates": f"""SELECT "entityId", "evaluatedAt", "entityId" || '-' || "evaluatedAt" AS "correlationId", "actionId", channel, CASE WHEN u < 0.95 THEN sc END AS score, "workflowState",
             coalesce("workflowState" <> 'EXPIRED', false) AS active, coalesce("workflowState" = 'CREATED', false) AS cancellable, u > 0.17 AND u < 0.22 AS "softCompleted", u > 0.93 AS "hardCompleted",
             (k % 33 <> 0) AND (channel <> 'sms' OR k % 7 <> 0) AND u <= 0.97 AS eligible, 'tmpl.' || "actionId" AS "contentKey"
