@@ -118,16 +118,27 @@ def _in_order(pdf: pd.DataFrame) -> Iterator:
 def replay_lifecycle(events: DataFrame, until_ms: int, cfg: Config = Config()) -> DataFrame:  # noqa: B008
     """Batch twin: transitions of every contact. ``events``: KEY, ts, seq (order of equal times), kind, raw, correlationId.
 
-    One group is the history of one contact, which its time to live and touch rules keep short.
+    Events are dealt by contact and sorted inside partitions, then stepped through as a stream: a task holds one instance at a
+    time, whatever the length of a history.
     """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, out = Instance(), []
-        for e in _in_order(pdf):
-            out += step(i, int(e.ts), e.kind, e.raw, e.correlationId, cfg)
-        return _rows(key, [*out, *due(i, until_ms, cfg)])
-
-    return events.groupBy(*KEY).applyInPandas(run, OUTPUT)
+    columns = [*KEY, "ts", "kind", "raw", "correlationId"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, i = None, Instance()
+        for pdf in batches:
+            found: list[tuple] = []
+            for *own, ts, kind, raw, correlation in zip(*(pdf[c] for c in columns), strict=True):
+                if own != key:
+                    if key is not None:
+                        found += [(*key, *o) for o in due(i, until_ms, cfg)]
+                    key, i = own, Instance()
+                found += [(*own, *o) for o in step(i, ts, kind, raw, correlation, cfg)]
+            yield pd.DataFrame(found, columns=[*KEY, "ts", "state", "op"])
+        if key is not None:
+            yield _rows(tuple(key), due(i, until_ms, cfg))
+
+    dealt = events.repartition(*KEY).sortWithinPartitions(*KEY, "ts", "seq")
+    return dealt.select(columns).mapInPandas(run, OUTPUT)
 
 
 def stream_lifecycle(events: DataFrame, cfg: Config = Config()) -> DataFrame:  # noqa: B008
