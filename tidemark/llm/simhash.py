@@ -35,13 +35,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of the ``words``-word shingles of ``text`` with A-Z lower-cased; 0 where there is no word."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the ``words``-word shingles of ``text`` with A-Z lower-cased, one of all words where they are fewer; none where there is no word."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.empty(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
-    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8"))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of the ``words``-word shingles of ``text``; 0 where there is no word."""
+    hashes = shingle_hashes(text, words)
+    return majority(hashes) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
