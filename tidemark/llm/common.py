@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,3 +26,15 @@ def lower_ascii(text: Column) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that Spark plans an ordinary join, split on skew."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> Iterator[None]:
+    """Tasks that start inside pass at most so many bytes to Python at once, whatever the length of the texts (but for one text)."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import BROADCAST_ROWS
 from tidemark.workspace import materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round. Minima are pre-aggregated before the shuffle, and the join back can be split on skew."""
+def _star(edges: DataFrame, large: bool, small: bool) -> DataFrame:
+    """One round. Minima are pre-aggregated before the shuffle; they are broadcast if ``small``, else the join back can be split on skew."""
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    joined = near.join(F.broadcast(least) if small else least, "u")
     if large:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     to_least = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -29,12 +30,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round's edges are written to the shared folder, so a lost executor costs at most one round.
     """
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    state, most = None, edges.count()
     while True:
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        # A star has at most one minimum for each end of an edge, and a round makes no more than three edges of one.
+        small = 6 * most <= BROADCAST_ROWS
+        edges = materialise(_star(_star(edges, True, small), False, small), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break
-        state = now
+        state, most = now, now[0]
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
