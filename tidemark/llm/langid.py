@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import arrow_batches, broadcast_if_small
 from tidemark.workspace import materialise
 
 PROFILE = 400
@@ -172,7 +173,28 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     Null texts and texts without letters are unidentified, and so is what stays further from every profile than prose does.
     Where no document has a language, nothing can be learned and only texts without letters go.
     """
-    profiles = learn_profiles(docs, lang_col, text_col)
-    if not profiles:
-        return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    return docs.where(predicted(docs[text_col], docs.sparkSession, profiles)["score"] >= least)
+    with arrow_batches(docs.sparkSession):
+        profiles = learn_profiles(docs, lang_col, text_col)
+        if not profiles:
+            return docs.where(F.col(text_col).rlike(r"\p{L}"))
+        gone = materialise(_rejected(docs.select(*_twice_hashed(docs[text_col]), docs[text_col].alias("text")), profiles, least).distinct(), "rejected")
+    # Only the texts went to Python; rows lack what was rejected by two hashes of the text.
+    first, second = _twice_hashed(docs[text_col])
+    return docs.where(docs[text_col].isNotNull()).join(broadcast_if_small(gone), (first == gone["first"]) & (second == gone["second"]), "left_anti")
+
+
+def _twice_hashed(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("first"), F.xxhash64(F.lit(1), text).alias("second")
+
+
+def _rejected(texts: DataFrame, profiles: list[tuple[str, list[int]]], least: float) -> DataFrame:
+    """first, second of those ``texts`` (first, second, text) whose score is below ``least``."""
+    shared = texts.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches):
+        predictor = Predictor(shared.value)
+        for batch in batches:
+            low = np.array([predictor.predict(t.as_py())[1] < least for t in batch.column(2)], bool)
+            yield batch.select([0, 1]).filter(pa.array(low))
+
+    return texts.mapInArrow(run, "first long, second long")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small
+from tidemark.llm.common import arrow_batches, broadcast_if_small
 from tidemark.llm.components import connected_components
 from tidemark.workspace import materialise
 
@@ -118,7 +118,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have fingerprint zero and link like any other. Rows that repeat an id are each returned.
     A component whose ids are all null has a null component_id. Other columns are ignored; an empty table gives no rows.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    with arrow_batches(docs.sparkSession):
+        prints = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     groups = materialise(connected_components(links(distinct.select("fp"), large_block)), "groups")
     member = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
@@ -130,8 +131,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those of a component whose id is not its smallest (a null id: unless all are null)."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("gone")).distinct(), "removed-rows")
-    return docs.join(broadcast_if_small(gone), row_hash(docs, id_col, text_col) == gone["gone"], "left_anti")
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), id_col, text_col)
+
+
+def without(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without those ``rows`` (doc_id, row: a hash of id and text)."""
+    gone = materialise(rows.select(F.col("row").alias("gone"), F.col("doc_id").alias("gone_id")).distinct(), "removed-rows")
+    return docs.join(broadcast_if_small(gone), (row_hash(docs, id_col, text_col) == gone["gone"]) & docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def fingerprint_hex(fp: Column) -> Column:
