@@ -88,8 +88,8 @@ def matching(sets: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict (allow or block).
 
-    URLs that an authored rule decides carry its verdict as their label. Of the others, those whose path has the number of
-    a labelled document are labelled blocked where it is of low quality or toxic, by any of its labels. The mined rules
+    Of the URLs that no authored rule decides, those whose path has the number of a labelled document are labelled: blocked
+    where it is of low quality or toxic, by any of its labels. The mined rules
     block what they match, anything else is allowed. A null URL has no tokens and is allowed; repeated rows are each
     returned, other columns are ignored, empty tables give empty results.
     """
@@ -99,8 +99,8 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     number = F.try_to_number(F.regexp_extract("path", "/([0-9]{1,18})(?![0-9])", 1), F.lit("9" * 18)).cast("long")
     parsed = materialise(parsed.select("*", rule.alias("rule"), ruled.alias("ruled"), number.alias("number")), "urls")
     known = labels.groupBy(F.col("doc_id").alias("of")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    labelled = parsed.join(known, F.col("number") == F.col("of"), "left")
-    labelled = labelled.select("tokens", F.coalesce(F.col("ruled") == "block", F.col("bad")).alias("blocked"))
+    # Only what no authored rule decides is to be judged by mined rules, so only its labels are learned from.
+    labelled = parsed.where("ruled is null").join(known, F.col("number") == F.col("of")).select("tokens", F.col("bad").alias("blocked"))
     matched = materialise(matching(parsed.where("ruled is null"), mine(labelled, support, confidence)), "matched").withColumn("hit", F.lit(True))
     judged = parsed.join(broadcast_if_small(matched), "tokens", "left")
     verdict = F.coalesce("ruled", F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow")))
