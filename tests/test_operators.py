@@ -153,7 +153,7 @@ def test_micro_batches_give_the_gold_of_one_batch(spark, tmp_path):
     assert rows(split.read("gold")) == rows(whole.read("gold")) and split.versions("gold") == [0, 1, 2]
     counts = lambda df: sorted(map(tuple, df.collect()))
     silver = spark.read.parquet(f"file://{tmp_path}/a/silver_batch/v*")
-    assert counts(spine.rollover(silver, 100, 1000)) == counts(whole.read("comms"))
+    assert counts(spine.rollover(silver, 100, 1000)) == counts(whole.read("comms")) == counts(split.read("comms"))
 
 
 def test_bootstrap_is_idempotent(spark, tmp_path):

@@ -79,47 +79,75 @@ def with_fact_dims(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"value": F.when(external, "sent").otherwise(F.col("value")), "factClass": kind, "actionId": action, "channel": channel})
 
 
+# The fields of all source dialects.
+BAGS = ("fields", "attributes", "props", "properties")
+BILLING = ("plan", "mrr", "seats", "status", "trialDaysLeft")
+TICKET = ("account", "accountId", "csat", "priority", "openTickets")
+FIELDS = ("_src", "system", "source", "ts", "eventTs", "timestamp", "contactId", "contact_id", "id", "customer", "customerId", "event", "user", "uid", "userId", "entityId", "entityType", "key", "value", "valueType")
+
+
+def inbound_schema() -> str:
+    """One struct that holds a record of any dialect; scalars keep their text."""
+    scalars = [f"{n} STRING" for n in dict.fromkeys(FIELDS + BILLING + TICKET)]
+    ticket = ", ".join(f"{n}: STRING" for n in TICKET)
+    return ", ".join([*scalars, *(f"{n} MAP<STRING, STRING>" for n in BAGS), f"ticket STRUCT<{ticket}>"])
+
+
 def normalize_inbound(raw: DataFrame, payload: str = "payload", default_ts: int = 0) -> DataFrame:
     """Canonical facts from records of several source dialects; unknown shapes and null values give none.
 
-    The first dialect that fits decides: CRM export, billing row, product event, support ticket, canonical fact. Values
-    are typed by their text. One pass: each record is one struct, its facts one array.
+    The first dialect that fits decides: CRM export, billing row, product event, support ticket (or a support record without
+    one), canonical fact. Empty texts and bags count as absent where they identify a record. Values are typed by their text,
+    but a canonical fact keeps the entity type and the value type that it names. Each record is parsed once.
     """
-    text = F.col(payload)
+    j = F.col("j")
 
-    def at(*names: str) -> Column:
-        return F.coalesce(*[F.get_json_object(text, f"$.{n}") for n in names])
+    def given(*names: str, of: Column = j) -> Column:
+        return F.coalesce(*[F.when(of[n] != "", of[n]) for n in names])
 
     def bag(*names: str) -> Column:
-        return F.coalesce(F.from_json(at(*names), "map<string,string>"), F.create_map().cast("map<string,string>"))
+        return F.coalesce(*[F.when(F.size(j[n]) > 0, j[n]) for n in names], F.create_map().cast("map<string,string>"))
 
     def fact(key: Column, value: Column) -> Column:
         return F.struct(key.alias("key"), value.alias("value"))
 
-    def named(prefix: str, names: tuple[str, ...]) -> Column:
-        return F.array(*[fact(F.lit("operator." + n.split(".")[-1]), at(prefix + n)) for n in names])
-
-    source = F.lower(F.coalesce(at("_src", "system", "source"), F.lit("unknown")))
-    ts = F.coalesce(at("ts", "eventTs", "timestamp").try_cast("long"), F.lit(default_ts).cast("long"))
-    crm = at("contactId", "contact_id").isNotNull() | source.startswith("crm")
-    billing = at("account", "customer").isNotNull() | (source == "billing")
-    product = at("event").isNotNull() | source.startswith("product") | source.startswith("events")
-    support = at("ticket").isNotNull() | (source == "support")
-    canonical = at("entityId").isNotNull() & at("key").isNotNull()
-
-    crm_facts = F.transform(F.map_entries(bag("fields", "attributes")), lambda e: fact(F.coalesce(crm_key(e["key"]), F.concat(F.lit("operator.activity."), camel(e["key"]))), e["value"]))
-    product_facts = F.concat(F.array(fact(F.lit("operator.lastEvent"), at("event"))), F.transform(F.map_entries(bag("props", "properties")), lambda e: fact(F.concat(F.lit("operator."), camel(e["key"])), e["value"])))
-    own = F.array(fact(at("key"), at("value")))
-    billed = named("", ("plan", "mrr", "seats", "status", "trialDaysLeft"))
-    ticket = named("ticket.", ("csat", "priority", "openTickets"))
-    facts = F.when(crm, crm_facts).when(billing, billed).when(product, product_facts).when(support, ticket).when(canonical, own)
-    who = (
-        F.when(crm, at("contactId", "contact_id", "id")).when(billing, at("account", "customer", "customerId"))
-        .when(product, at("user", "uid", "userId")).when(support, at("ticket.account", "ticket.accountId")).when(canonical, at("entityId"))
+    def named(names: tuple[str, ...], of: Column) -> Column:
+        return F.array(*[fact(F.lit(f"operator.{n}"), of[n]) for n in names])
+
+    source = F.lower(F.coalesce(given("_src", "system", "source"), F.lit("unknown")))
+    ts = F.coalesce(*[given(n).try_cast("long") for n in ("ts", "eventTs", "timestamp")], F.lit(default_ts).cast("long"))
+    ticket = F.coalesce(j["ticket"], F.struct(*[j[n].alias(n) for n in TICKET]))
+    dialect = (
+        F.when(given("contactId", "contact_id").isNotNull() | source.startswith("crm"), "crm")
+        .when(given("account", "customer").isNotNull() | (source == "billing"), "billing")
+        .when(given("event").isNotNull() | source.startswith("product") | source.startswith("events"), "product")
+        .when(j["ticket"].isNotNull() | (source == "support"), "support")
+        .when(given("entityId").isNotNull() & given("key").isNotNull(), "canonical")
+    )
+    # Exploding keeps the optimiser from copying the parse into each condition on its fields.
+    parsed = raw.select(F.explode(F.array(F.from_json(payload, inbound_schema()))).alias("j"))
+    parsed = parsed.select("j", source.alias("source"), ts.alias("eventTs"), dialect.alias("dialect"))
+
+    def by_dialect(**columns: Column) -> Column:
+        return F.coalesce(*[F.when(F.col("dialect") == d, c) for d, c in columns.items()])
+
+    who = by_dialect(
+        crm=given("contactId", "contact_id", "id"), billing=given("account", "customer", "customerId"), product=given("user", "uid", "userId"),
+        support=given("account", "accountId", of=ticket), canonical=given("entityId"),
+    )
+    facts = by_dialect(
+        crm=F.transform(F.map_entries(bag("fields", "attributes")), lambda e: fact(F.coalesce(crm_key(e["key"]), F.concat(F.lit("operator.activity."), camel(e["key"]))), e["value"])),
+        billing=named(BILLING, j),
+        product=F.concat(F.array(fact(F.lit("operator.lastEvent"), given("event"))), F.transform(F.map_entries(bag("props", "properties")), lambda e: fact(F.concat(F.lit("operator."), camel(e["key"])), e["value"]))),
+        support=named(("csat", "priority", "openTickets"), ticket),
+        canonical=F.array(fact(j["key"], j["value"])),
     )
-    rows = raw.select(who.alias("entityId"), ts.alias("eventTs"), F.concat(F.lit("lake:"), source).alias("source"), F.explode(facts).alias("f"))
-    rows = rows.where("entityId is not null and f.value is not null")
-    return rows.select(F.lit("OPERATOR").alias("entityType"), "entityId", "f.key", "f.value", value_type(F.col("f.value")).alias("valueType"), "eventTs", "source")
+    own = F.col("dialect") == "canonical"
+    rows = parsed.select(
+        F.coalesce(F.when(own, j["entityType"]), F.lit("OPERATOR")).alias("entityType"), who.alias("entityId"), F.when(own, given("valueType")).alias("ownType"),
+        "eventTs", F.concat(F.lit("lake:"), F.col("source")).alias("source"), F.explode_outer(facts).alias("f"),
+    ).where("entityId is not null and f.value is not null")
+    return rows.select("entityType", "entityId", "f.key", "f.value", F.coalesce("ownType", value_type(F.col("f.value"))).alias("valueType"), "eventTs", "source")
 
 
 def melt_facts(df: DataFrame, ids: list[str], spec: list[tuple[str, str, str]]) -> DataFrame:

@@ -77,7 +77,14 @@ def _raw(spark, sf_dir):
     li = T.read(spark, sf_dir, "lineitem")
     support = li.select(F.to_json(F.struct(F.lit("support").alias("source"), F.struct(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("account"), F.col("l_linenumber").alias("csat"), F.when(F.col("l_returnflag") == "R", "high").alias("priority")).alias("ticket"))).alias("payload"))
     unknown = e.select(F.to_json(F.struct(F.col("event_id").alias("blip"))).alias("payload"))
-    return crm.unionByName(billing).unionByName(product).unionByName(support).unionByName(unknown)
+    sup = T.read(spark, sf_dir, "supplier")
+    own = sup.select(F.to_json(F.struct(F.lit("MEMBER").alias("entityType"), F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("entityId"), F.lit("profile.nation").alias("key"), F.col("s_nationkey").cast("string").alias("value"), F.lit("STRING").alias("valueType"), F.lit(T.PROFILE_MS).alias("ts"))).alias("payload"))
+    untyped = sup.select(F.to_json(F.struct(F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("entityId"), F.lit("profile.key").alias("key"), F.col("s_suppkey").alias("value"), F.lit("Registry").alias("source"))).alias("payload"))
+    no_ticket = sup.select(F.to_json(F.struct(F.lit("support").alias("source"), F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("accountId"), F.col("s_nationkey").alias("csat"), F.lit("").alias("event"))).alias("payload"))
+    no_contact = sup.select(F.to_json(F.struct(F.lit("").alias("contactId"), F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("contact_id"), F.lit("crm").alias("source"), F.struct((F.col("s_suppkey") % 2 == 0).alias("used_chat")).alias("attributes"))).alias("payload"))
+    for more in (billing, product, support, unknown, own, untyped, no_ticket, no_contact):
+        crm = crm.unionByName(more)
+    return crm
 
 
 @query(f"""WITH f AS (
@@ -86,8 +93,12 @@ def _raw(spark, sf_dir):
         {{'k': 'operator.activity.daysSinceLogin', 'v': (c_custkey % 90)::VARCHAR, 't': 'LONG'}}, {{'k': 'operator.activity.marketSegmentName', 'v': c_mktsegment, 't': 'STRING'}}]) AS f, {T.PROFILE_MS}::BIGINT AS eventTs, 'lake:crm-export' AS source FROM customer
     UNION ALL SELECT 'op-' || o_custkey, unnest([{{'k': 'operator.mrr', 'v': o_orderkey::VARCHAR, 't': 'LONG'}}, {{'k': 'operator.status', 'v': o_orderstatus, 't': 'STRING'}}]), epoch_us(o_orderdate) // 1000, 'lake:billing' FROM orders
     UNION ALL SELECT 'op-' || user_id, unnest([{{'k': 'operator.lastEvent', 'v': event_type, 't': 'STRING'}}, {{'k': 'operator.pageDepth', 'v': (event_id % 9)::VARCHAR, 't': 'LONG'}}]), epoch_us(ts) // 1000, 'lake:product-app' FROM events
-    UNION ALL SELECT 'order-' || l_orderkey, unnest([{{'k': 'operator.csat', 'v': l_linenumber::VARCHAR, 't': 'LONG'}}, {{'k': 'operator.priority', 'v': CASE WHEN l_returnflag = 'R' THEN 'high' END, 't': 'STRING'}}]), {T.NOW_MS}::BIGINT, 'lake:support' FROM lineitem)
-    SELECT 'OPERATOR' AS entityType, entityId, f.k AS key, f.v AS value, f.t AS valueType, eventTs, source FROM f WHERE f.v IS NOT NULL""")
+    UNION ALL SELECT 'order-' || l_orderkey, unnest([{{'k': 'operator.csat', 'v': l_linenumber::VARCHAR, 't': 'LONG'}}, {{'k': 'operator.priority', 'v': CASE WHEN l_returnflag = 'R' THEN 'high' END, 't': 'STRING'}}]), {T.NOW_MS}::BIGINT, 'lake:support' FROM lineitem
+    UNION ALL SELECT 'sup-' || s_suppkey, unnest([{{'k': 'profile.key', 'v': s_suppkey::VARCHAR, 't': 'LONG'}}]), {T.NOW_MS}::BIGINT, 'lake:registry' FROM supplier
+    UNION ALL SELECT 'sup-' || s_suppkey, unnest([{{'k': 'operator.csat', 'v': s_nationkey::VARCHAR, 't': 'LONG'}}]), {T.NOW_MS}::BIGINT, 'lake:support' FROM supplier
+    UNION ALL SELECT 'sup-' || s_suppkey, unnest([{{'k': 'operator.activity.usedChat', 'v': (s_suppkey % 2 = 0)::VARCHAR, 't': 'BOOLEAN'}}]), {T.NOW_MS}::BIGINT, 'lake:crm' FROM supplier)
+    SELECT 'MEMBER' AS entityType, 'sup-' || s_suppkey AS entityId, 'profile.nation' AS key, s_nationkey::VARCHAR AS value, 'STRING' AS valueType, {T.PROFILE_MS}::BIGINT AS eventTs, 'lake:unknown' AS source FROM supplier
+    UNION ALL SELECT 'OPERATOR' AS entityType, entityId, f.k AS key, f.v AS value, f.t AS valueType, eventTs, source FROM f WHERE f.v IS NOT NULL""")
 def p06_normalize_inbound(spark, sf_dir):
     return ingest.normalize_inbound(_raw(spark, sf_dir), default_ts=T.NOW_MS)
 

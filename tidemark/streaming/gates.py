@@ -6,48 +6,64 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.scalars import DAY_MS
 
 
-def throttle_decision(in_window: int, lake_rate: int, backlog: int, cap: int | None, ts: int, window_ms: int) -> str:
-    """SEND below the cap; else WAIT while the rest of the day has room for the backlog; else SUPPRESS. No cap: SEND."""
-    if cap is None or max(in_window, lake_rate) < cap:
+def throttle_decision(in_window: int, lake_rate: int, backlog: int, cap: int | None, ts: int, window_ms: int, share: int | None = None) -> str:
+    """SEND below the cap; else WAIT while the rest of the day has room for the backlog; else SUPPRESS. No cap: SEND.
+
+    ``in_window`` and ``backlog`` are held against ``share`` of the cap (default: all), the channel's rate in the lake against all of it.
+    """
+    share = cap if share is None else share
+    if cap is None or (in_window < share and lake_rate < cap):
         return "SEND"
     windows_left = max(1, -(-(DAY_MS - ts % DAY_MS) // window_ms))
-    return "WAIT" if backlog < cap * windows_left else "SUPPRESS"
+    return "WAIT" if backlog < share * windows_left else "SUPPRESS"
+
+
+def cap_share(cap: int | None, shard: int, shards: int) -> int | None:
+    """What ``shard`` may send of a channel's cap: all shards together may send the cap and no more."""
+    return None if cap is None else cap // shards + (shard % shards < cap % shards)
 
 
-def _throttle(rows: Iterator, state: tuple[int, int, int], cap: int | None, window_ms: int) -> tuple[list[str], tuple[int, int, int]]:
+def _step(state: tuple[int, int, int], ts: int, rate: int, cap: int | None, share: int | None, window_ms: int) -> tuple[str, tuple[int, int, int]]:
     start, sent, waiting = state
-    decisions = []
-    for ts, rate in rows:
-        if ts - start >= window_ms:
-            start, sent = ts, 0
-        decision = throttle_decision(sent, rate, waiting, cap, ts, window_ms)
-        sent, waiting = sent + (decision == "SEND"), waiting + (decision == "WAIT")
-        decisions.append(decision)
-    return decisions, (start, sent, waiting)
+    if ts - start >= window_ms:
+        start, sent = ts, 0
+    decision = throttle_decision(sent, rate, waiting, cap, ts, window_ms, share)
+    return decision, (start, sent + (decision == "SEND"), waiting + (decision == "WAIT"))
 
 
+FRESH = (-(1 << 60), 0, 0)
 THROTTLED = "id long, channel string, ts long, decision string"
 
 
 def throttle(sends: DataFrame, caps: dict[str, int], window_ms: int, shards: int = 1) -> DataFrame:
     """Batch twin: decision for each send (id, channel, shard, ts, lakeRate) in the order of its channel.
 
-    A channel's cap is a global promise, so its sends are one ordered sequence; ``shards`` splits cap and sends evenly where
-    a channel is too busy for one task.
+    A channel's cap is a global promise, so its sends are one ordered sequence; ``shards`` splits cap and sends where a
+    channel is too busy for one task, and the shards' shares add up to the cap. Channels without a cap need no order. The
+    others are sorted inside partitions and stepped through as a stream, so no channel's history is held at once.
     """
+    capped = F.col("channel").isin(list(caps))
+    free = sends.where(~capped | F.col("channel").isNull()).select("id", "channel", "ts", F.lit("SEND").alias("decision"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        cap = caps.get(key[0])
-        decisions, _ = _throttle(zip(pdf["ts"], pdf["lakeRate"], strict=True), (-(1 << 60), 0, 0), None if cap is None else -(-cap // shards), window_ms)
-        return pd.DataFrame({"id": pdf["id"], "channel": key[0], "ts": pdf["ts"], "decision": decisions})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, state = None, FRESH
+        for pdf in frames:
+            decisions = []
+            for channel, shard, ts, rate in zip(pdf["channel"], pdf["shard"], pdf["ts"], pdf["lakeRate"], strict=True):
+                if (channel, shard) != known:
+                    known, state = (channel, shard), FRESH
+                decision, state = _step(state, ts, rate, caps[channel], cap_share(caps[channel], shard, shards), window_ms)
+                decisions.append(decision)
+            yield pdf[["id", "channel", "ts"]].assign(decision=decisions)
 
-    return sends.groupBy("channel", "shard").applyInPandas(run, THROTTLED)
+    ordered = sends.where(capped).select("id", "channel", "shard", "ts", "lakeRate").repartition("channel", "shard").sortWithinPartitions("channel", "shard", "ts", "id")
+    return free.unionByName(ordered.mapInPandas(run, THROTTLED))
 
 
 def stream_throttle(sends: DataFrame, caps: dict[str, int], window_ms: int, shards: int = 1) -> DataFrame:
@@ -55,8 +71,10 @@ def stream_throttle(sends: DataFrame, caps: dict[str, int], window_ms: int, shar
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values(["ts", "id"])
-        cap = caps.get(key[0])
-        decisions, now = _throttle(zip(pdf["ts"], pdf["lakeRate"], strict=True), state.get if state.exists else (-(1 << 60), 0, 0), None if cap is None else -(-cap // shards), window_ms)
+        cap, now, decisions = caps.get(key[0]), state.get if state.exists else FRESH, []
+        for ts, rate in zip(pdf["ts"], pdf["lakeRate"], strict=True):
+            decision, now = _step(now, ts, rate, cap, cap_share(cap, key[1], shards), window_ms)
+            decisions.append(decision)
         state.update(tuple(map(int, now)))
         yield pd.DataFrame({"id": pdf["id"], "channel": key[0], "ts": pdf["ts"], "decision": decisions})
 

@@ -39,7 +39,8 @@ class Lake:
 def process_batch(lake: Lake, now_ms: int, week_ms: int = 7 * 86_400_000) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over raw records (payload): facts to silver, last writer wins into gold, counters recomputed.
 
-    Counters are recomputed only for members and channels that the batch touches, from all of silver.
+    Counters are recomputed for the members that the batch touches, from all of silver, and replace theirs among the counters of
+    the version before; everyone else's stay as they were (``rollover`` recounts all when the clock has moved).
     """
 
     def run(raw: DataFrame, batch_id: int) -> None:
@@ -50,7 +51,9 @@ def process_batch(lake: Lake, now_ms: int, week_ms: int = 7 * 86_400_000) -> Cal
         incoming = merging.latest_per_key(new.drop("factClass", "actionId", "channel"), GOLD_KEYS, "eventTs", ["value"])
         lake.write("gold", batch_id, incoming if before is None else merging.merge_lww(before, incoming, GOLD_KEYS))
         sent = new.where((F.col("factClass") == "disposition") & (F.col("value") == "sent"))
-        lake.write("comms", batch_id, on_sends(sent, lake.spark.read.parquet(f"{lake.path}/silver_batch/v*"), now_ms, week_ms))
+        moved = on_sends(sent, lake.spark.read.parquet(f"{lake.path}/silver_batch/v*"), now_ms, week_ms)
+        counted = lake.read("comms", batch_id)
+        lake.write("comms", batch_id, moved if counted is None else merging.merge_all(counted, moved, ["entityId", "key"]))
 
     return run
 
