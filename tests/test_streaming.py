@@ -101,6 +101,14 @@ def test_throttle_golden_cases_and_stream(spark, tmp_path):
         assert {r.id: r.decision for r in got.collect()} == want
 
 
+def test_shards_keep_a_cap_together(spark):
+    rows = [(i, "email", i % 4, i, 0) for i in range(40)]
+    for cap in range(1, 9):
+        got = gates.throttle(spark.createDataFrame(rows, "id long, channel string, shard int, ts long, lakeRate long"), {"email": cap}, 300_000, shards=4).collect()
+        assert len(got) == 40 and sum(r.decision == "SEND" for r in got) == cap
+        assert sum(gates.cap_share(cap, k, 4) for k in range(4)) == cap
+
+
 def test_touch_and_fold_streams_do_not_depend_on_how_input_is_split(spark, tmp_path):
     sends = [(i, "m1", c, i) for i, c in enumerate(["email", "push", "email", "email", "sms"])]
     schema = "id long, entityId string, channel string, ts long"

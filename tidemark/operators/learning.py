@@ -186,13 +186,17 @@ def explore_bonus(candidates: DataFrame, sent: DataFrame, explore: float, first_
 def playbook_score(candidates: DataFrame, journeys: DataFrame, by: list[str]) -> DataFrame:
     """Adds playbook: 1 for the first eligible step of the member's journey, 0 for all others.
 
-    ``journeys``: journey, step, actionId. A member's journey is a CRC-32 bucket of the id.
+    ``journeys``: journey, step, actionId. A member's journey is a CRC-32 bucket of the id. A member none of whose steps is
+    eligible is kept moving by its first eligible contact off the journey, in the order of action and channel.
     """
     n = journeys.agg(F.count_distinct("journey").alias("n"))
     own = candidates.crossJoin(F.broadcast(n)).withColumn("journey", (F.crc32(F.col("entityId").cast("binary")) % F.col("n")).cast("int")).drop("n")
     placed = own.join(journeys, ["journey", "actionId"], "left")
     first = F.min(F.when(F.col("eligible") & F.col("step").isNotNull(), F.struct("step", "channel"))).over(Window.partitionBy(*by))
-    hit = (F.col("step") == first["step"]) & (F.col("channel") == first["channel"]) & F.col("eligible")
+    other = F.min(F.when(F.col("eligible"), F.struct("actionId", "channel"))).over(Window.partitionBy(*by))
+    on_journey = (F.col("step") == first["step"]) & (F.col("channel") == first["channel"])
+    off_journey = (F.col("actionId") == other["actionId"]) & (F.col("channel") == other["channel"])
+    hit = F.col("eligible") & F.when(first.isNotNull(), on_journey).otherwise(off_journey)
     return placed.withColumn("playbook", F.coalesce(hit, F.lit(False)).cast("int")).drop("journey", "step")
 
 

@@ -111,6 +111,7 @@ def fleet_suppress(control: DataFrame, live: DataFrame) -> DataFrame:
     """SUPPRESS for each live instance that a control row newly covers: on where it was off before, on all channels or on one."""
     order = Window.partitionBy("actionId", "channel").orderBy("eventTs")
     rising = control.withColumn("_was", F.lag("on", 1, False).over(order)).where(F.col("on") & ~F.col("_was")).select(F.col("actionId").alias("c_action"), F.col("channel").alias("c_channel"), "eventTs")
+    rising = rising.groupBy("c_action", "c_channel").agg(F.min("eventTs").alias("eventTs"))  # only the first counts, and few rows are left to join
     hit = live.join(rising, (F.col("actionId") == F.col("c_action")) & (F.col("c_channel").isNull() | (F.col("c_channel") == F.col("channel"))))
     return hit.groupBy("entityId", "actionId", "channel").agg(F.min("eventTs").alias("eventTs")).withColumn("op", F.lit("SUPPRESS"))
 

@@ -111,9 +111,11 @@ def j10_action_performance(spark, sf_dir):
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("eligible", "sent", "opened")})
 
 
-@query(T.oracle("touches facts_profile", "SELECT entityId, key, value FROM facts_profile WHERE entityId IN (SELECT entityId FROM touches WHERE touchId % 50 = 0)"))
+@query(T.oracle("touches facts_profile", "SELECT entityId, key, value FROM facts_profile WHERE entityId IN (SELECT entityId FROM touches WHERE ts // 86400000 = (SELECT max(ts) // 86400000 FROM touches))"))
 def j14_scope_to(spark, sf_dir):
-    return joining.scope_to(T.facts_profile(spark, sf_dir), T.touches(spark, sf_dir).where("touchId % 50 = 0"), "entityId").select("entityId", "key", "value")
+    touches = T.touches(spark, sf_dir).withColumn("day", F.expr("ts div 86400000"))
+    latest = touches.join(F.broadcast(touches.agg(F.max("day").alias("day"))), "day")  # one row
+    return joining.scope_to(T.facts_profile(spark, sf_dir), latest, "entityId").select("entityId", "key", "value")
 
 
 @query(T.oracle("candidates sends dispositions", """w AS (SELECT correlationId FROM sends WHERE status = 'F'), x AS (SELECT correlationId, decisionTs AS ts, 'activation' AS kind, actionId, channel, 'CREATE' AS detail FROM sends

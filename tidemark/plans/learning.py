@@ -282,14 +282,14 @@ def p32_build_obs(spark, sf_dir):
 
 @query(T.oracle("facts_events facts_profile", rules_plan.MEMBERS + """, h AS (SELECT entityId, 'action_1' AS actionId, 'email' AS channel FROM g WHERE NOT dnc UNION ALL SELECT entityId, 'action_1', 'sms' FROM g WHERE NOT dnc AND consent
         UNION ALL SELECT entityId, 'action_2', 'sms' FROM g WHERE NOT dnc AND browsing AND errors <= 8 AND consent UNION ALL SELECT entityId, 'action_2', 'push' FROM g WHERE NOT dnc AND browsing AND errors <= 8 UNION ALL SELECT entityId, 'action_3', 'mail' FROM g WHERE NOT dnc),
-    s AS (SELECT *, (('0x' || substr(md5(entityId || '|' || actionId || '|' || channel), 1, 8))::BIGINT / 4294967295::DOUBLE) AS score FROM h WHERE entityId LIKE '%3')
+    s AS (SELECT *, (('0x' || substr(md5(entityId || '|' || actionId || '|' || channel), 1, 8))::BIGINT / 4294967295::DOUBLE) AS score FROM h)
     SELECT entityId, actionId, channel, place FROM (SELECT *, row_number() OVER (PARTITION BY entityId ORDER BY score DESC, actionId, channel) AS place FROM s) WHERE place <= 2"""))
 def m15_m16_decide(spark, sf_dir):
     from tidemark.functions.scalars import stable01
     from tidemark.operators.serving import decide
 
     gold = T.facts_events(spark, sf_dir).unionByName(T.facts_profile(spark, sf_dir))
-    asked = T.facts_profile(spark, sf_dir).where("entityId like '%3'").select("entityId").distinct()
+    asked = T.facts_profile(spark, sf_dir).select("entityId").distinct()
     request = asked.select("entityId", F.lit("operator.activity.purchase").alias("key"), F.lit("99").alias("value"), F.lit(T.NOW_MS).alias("eventTs"))
     scorer = lambda df: df.withColumn("score", stable01(F.col("entityId"), F.col("actionId"), F.col("channel")))
     return decide(request, gold, rules_plan.DEFS, scorer, 2).select("entityId", "actionId", "channel", "place")

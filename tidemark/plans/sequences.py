@@ -110,10 +110,12 @@ def t15_materialize_eligibility(spark, sf_dir):
     return sequences.materialize_eligibility(e, "entityId", "evaluatedAt")
 
 
-@query(T.oracle("candidates touches", f"""c AS (SELECT actionId, ts AS eventTs, touchId % 4 < 2 AS on_, lag(touchId % 4 < 2, 1, false) OVER (PARTITION BY actionId ORDER BY ts) AS was FROM touches WHERE channel = 'mail' AND entityId = 'op-8'),
+@query(T.oracle("candidates touches", f"""t AS (SELECT actionId, ts, bool_or(touchId % 4 < 2) AS on_ FROM touches WHERE channel = 'mail' GROUP BY ALL),
+    c AS (SELECT actionId, ts AS eventTs, on_, lag(on_, 1, false) OVER (PARTITION BY actionId ORDER BY ts) AS was FROM t),
     r AS (SELECT actionId, min(eventTs) AS eventTs FROM c WHERE on_ AND NOT was GROUP BY ALL) SELECT DISTINCT l.entityId, l.actionId, l.channel, r.eventTs, 'SUPPRESS' AS op FROM candidates l JOIN r USING (actionId) WHERE l.active"""))
 def t9_t10_fleet_suppress(spark, sf_dir):
-    control = T.touches(spark, sf_dir).where("channel = 'mail' and entityId = 'op-8'").select("actionId", F.lit(None).cast("string").alias("channel"), F.col("ts").alias("eventTs"), (F.col("touchId") % 4 < 2).alias("on"))
+    switched = T.touches(spark, sf_dir).where("channel = 'mail'").groupBy("actionId", F.col("ts").alias("eventTs")).agg(F.bool_or(F.col("touchId") % 4 < 2).alias("on"))
+    control = switched.select("actionId", F.lit(None).cast("string").alias("channel"), "eventTs", "on")
     return sequences.fleet_suppress(control, T.candidates(spark, sf_dir).where("active"))
 
 
