@@ -55,8 +55,27 @@ def test_media_round_trip(spark, monkeypatch, repeated):
 def test_store_has_each_chunk_once(spark):
     table = docs(spark, [(i, t, "s") for i, t in enumerate(texts())])
     listed = media.manifests(table)
-    store = media.chunk_store(table, listed).collect()
-    assert len({bytes(x.digest) for x in store}) == len(store)
+    packs, shared = media.chunk_store(table, listed)
+    stored = [bytes(x.digest) for x in shared.collect()]
+    stored += [bytes(x.chunks[p]) for x in packs.collect() for p in x.places]
+    assert len(set(stored)) == len(stored)
     named = {bytes(d) for x in listed.collect() for d in x.chunks}
-    assert {bytes(x.digest) for x in store} == named
+    assert set(stored) == named
     assert sum(len(x.chunks) for x in listed.collect()) > len(named)
+
+
+def test_texts_with_a_common_passage_share_stored_chunks(spark):
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(2_000)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    passage = prose(1_500)
+    rows = [f"{prose(200)} {passage}", f"{passage} {prose(90)}", f"{prose(31)} {passage} {prose(7)}", prose(1_500)]
+    table = docs(spark, [(i, t, "s") for i, t in enumerate(rows)])
+    packs, shared = media.chunk_store(table, media.manifests(table))
+    assert shared.count() > 0.7 * len(media.chunks_of(passage.encode()))
+    own = {bytes(x.media): sum(x.sizes) for x in packs.collect()}
+    for text in rows[:3]:
+        raw = media.payload_of(text)[0]
+        assert own[hashlib.sha256(media.as_wav(raw)).digest()] < len(raw) - 0.7 * len(passage)
+    raw = media.payload_of(rows[3])[0]
+    assert own[hashlib.sha256(media.as_wav(raw)).digest()] == len(raw)
