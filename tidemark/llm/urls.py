@@ -1,8 +1,11 @@
 """URL filters: authored host and path rules first, mined association rules for what they leave open.
 
-Labelled URLs become sets of tokens (host labels, path segments, query names). Spark's FP-growth finds the combinations that
-occur often enough, and those that are blocked often enough become rules. Rules are matched by an inverted index: a rule is
-listed under its rarest token, looked up by the tokens of each distinct token set, and then verified.
+Labelled URLs become sets of tokens (host labels, path segments, query names). Tokens that stand in the very same labelled
+URLs are one class, so that a template of many tokens is one item and not an exponential number of combinations. Spark's
+FP-growth finds the combinations of classes that occur often enough; those whose chance of being blocked is surely high
+enough become rules. Rules are matched by an inverted index: a rule is listed under its rarest class, looked up by the
+classes of each distinct token set, and then verified. A set has a class if it has any of its tokens: every part of a class
+has the rows, and so the rules, of the whole.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import broadcast_if_small, lower_ascii
 from tidemark.workspace import materialise
 
-#: Least share of labelled URLs that hold a mined combination and are blocked; least share of its URLs that are blocked.
-SUPPORT, CONFIDENCE = 0.002, 0.8
+#: Least share of labelled URLs that hold a mined combination and are blocked; least share of its URLs that are blocked, as
+#: the lower end of Wilson's interval of so many standard deviations, so that few rows earn no rule by chance.
+SUPPORT, CONFIDENCE, DEVIATIONS = 0.002, 0.8, 1.645
 
 #: (verdict, host, path): fits the host and its subdomains where the path begins so; the longest that fits decides.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -59,30 +63,53 @@ def decide(host_col: Column, path_col: Column, rules=RULES) -> tuple[Column, Col
     return rule, verdict
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """items (array), rarest, confidence: token combinations that go with blocking. ``labelled``: tokens, blocked.
+def surely(share: Column, rows: Column, z: float = DEVIATIONS) -> Column:
+    """The lower end of Wilson's interval for a share that was seen in so many rows."""
+    return (share + z * z / (2 * rows) - z * F.sqrt(share * (1 - share) / rows + z * z / (4 * rows * rows))) / (1 + z * z / rows)
 
-    Rows with a null label or without tokens are left out; none left give no rules.
+
+def token_classes(baskets: DataFrame, least: float) -> DataFrame:
+    """token, item: the tokens of at least ``least`` rows of ``baskets`` (row, tokens); those of the same rows share an item."""
+    of = ["n", "rows", "again"]
+    same_rows = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("rows"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("again"))
+    often = baskets.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(*same_rows).where(F.col("n") >= least)
+    often = materialise(often, "url-tokens")
+    return materialise(often.join(often.groupBy(of).agg(F.min("token").alias("item")), of).select("token", "item"), "url-classes")
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """(rules, classes). rules: items (array), rarest, confidence of combinations that go with blocking; classes: token, item.
+
+    ``labelled``: tokens, blocked. Rows with a null label or without tokens are left out; none left give no rules.
     """
     spark = labelled.sparkSession
     usable = labelled.where(F.col("blocked").isNotNull() & (F.size("tokens") > 0))
-    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens"))
-    baskets = materialise(usable.select(items.alias("items")), "baskets")
-    if baskets.isEmpty():
-        return spark.createDataFrame([], T.StructType.fromDDL("items array<string>, rarest string, confidence double"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == BLOCKED).select(F.array_sort("antecedent").alias("items"), "confidence")
+    baskets = materialise(usable.select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked"), "baskets")
+    total = baskets.count()
+    classes = token_classes(baskets, support * total)
+    exploded = baskets.select("row", "blocked", F.explode("tokens").alias("token")).join(broadcast_if_small(classes), "token", "left")
+    items = exploded.groupBy("row", "blocked").agg(F.collect_set("item").alias("items"))
+    items = items.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(BLOCKED)))).otherwise(F.col("items")).alias("items"))
+    items = materialise(items, "item-sets")
+    if not total:
+        return spark.createDataFrame([], T.StructType.fromDDL("items array<string>, rarest string, confidence double")), classes
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
+    sure = surely(F.col("confidence"), F.col("support") * total / F.col("confidence")) >= confidence
+    rules = found.where((F.col("consequent")[0] == BLOCKED) & sure).select(F.array_sort("antecedent").alias("items"), "confidence")
     rules = materialise(rules, "rules")
-    how_often = baskets.select(F.explode("items").alias("token")).groupBy("token").count()
-    listed = rules.select("items", "confidence", F.explode("items").alias("token")).join(how_often, "token")
-    return materialise(listed.groupBy("items").agg(F.min_by("token", F.struct("count", "token")).alias("rarest"), F.first("confidence").alias("confidence")), "rule-index")
+    how_often = items.select(F.explode("items").alias("item")).groupBy("item").count()
+    listed = rules.select("items", "confidence", F.explode("items").alias("item")).join(how_often, "item")
+    index = listed.groupBy("items").agg(F.min_by("item", F.struct("count", "item")).alias("rarest"), F.first("confidence").alias("confidence"))
+    return materialise(index, "rule-index"), classes
 
 
-def matching(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct token sets of ``sets`` (column tokens) that hold all items of some rule."""
-    distinct = sets.select("tokens").distinct()
-    looked_up = distinct.select("tokens", F.explode("tokens").alias("token")).join(broadcast_if_small(rules.select("items", F.col("rarest").alias("token"))), "token")
-    return looked_up.where(F.size(F.array_except("items", "tokens")) == 0).select("tokens").distinct()
+def matching(sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct token sets of ``sets`` (column tokens) that have all items of some rule."""
+    tokens_of = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+    having = tokens_of.join(broadcast_if_small(classes), "token").groupBy("tokens").agg(F.collect_set("item").alias("having"))
+    index = broadcast_if_small(rules.select("items", F.col("rarest").alias("item")))
+    looked_up = having.select("tokens", "having", F.explode("having").alias("item")).join(index, "item")
+    return looked_up.where(F.size(F.array_except("items", "having")) == 0).select("tokens").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -101,7 +128,7 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     known = labels.groupBy(F.col("doc_id").alias("of")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     # Only what no authored rule decides is to be judged by mined rules, so only its labels are learned from.
     labelled = parsed.where("ruled is null").join(known, F.col("number") == F.col("of")).select("tokens", F.col("bad").alias("blocked"))
-    matched = materialise(matching(parsed.where("ruled is null"), mine(labelled, support, confidence)), "matched").withColumn("hit", F.lit(True))
+    matched = materialise(matching(parsed.where("ruled is null"), *mine(labelled, support, confidence)), "matched").withColumn("hit", F.lit(True))
     judged = parsed.join(broadcast_if_small(matched), "tokens", "left")
     verdict = F.coalesce("ruled", F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
