@@ -48,23 +48,82 @@ def test_lm_counts_and_unigram_base_equal_brute_force(spark, monkeypatch, freque
         assert sum(x.score for x in out) > sum(x.base_score for x in out) + 5
 
 
-def test_lm_probabilities_are_normalised(spark):
-    """Over all tokens of the training vocabulary and one unknown token, the probabilities after any context add up to 1."""
+def brute_score(model, counts, text):
+    """log10 p of a text, token by token, from the net's vectors and the counts of all training tokens."""
+    net, total, classes = model.net, 0.0, [0] * lbl.CONTEXT
+    softmax = lambda z: [x / sum(math.exp(y) for y in z) for x in map(math.exp, z)]
+    endings = Counter()
+    for t, n in counts.items():
+        if t not in model.classes:
+            endings[zlib.crc32(t[-3:]) % lbl.ENDINGS] += n + 1
+    for t in lbl.tokens(text):
+        c = model.classes[t] if t in model.classes else model.head + zlib.crc32(t[-3:]) % lbl.ENDINGS
+        ahead = sum(net.before[classes[-k]].astype(float) * net.place[k - 1] for k in range(1, lbl.CONTEXT + 1))
+        group, start = c // lbl.WIDE, c // lbl.WIDE * lbl.WIDE
+        p = softmax([float(ahead @ v + b) for v, b in zip(net.group, net.group_bias)])[group]
+        members = range(start, min(start + lbl.WIDE, len(net.after)))
+        p *= softmax([float(ahead @ net.after[m] + net.bias[m]) for m in members])[c - start]
+        if t not in model.classes:
+            p *= (counts[t] + 1) / (endings[c - model.head] + 1)
+        total += math.log10(p)
+        classes.append(c)
+    return total
+
+
+@pytest.mark.parametrize("frequent", [lbl.FREQUENT, 6])
+def test_lm_score_equals_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lbl, "HEAD", 12)
+    monkeypatch.setattr(lbl.frequent_tokens, "__defaults__", (frequent,))
+    rows = lm_rows()
+    texts = spark.createDataFrame([(i, t, held(i, 7, 2)) for i, t in rows], "doc_id long, text string, out boolean")
+    counts = Counter(t for i, x in rows if not held(i, 7, 2) for t in lbl.tokens(x))
+    model = lbl.fit(texts.where("not out"))[1]
+    got = sorted((lbl.tokens(t), s) for t, s in lbl.score_texts(texts).join(texts, "doc_id").select("text", "score").distinct().collect())
+    assert len({repr(t) for t, _ in got}) > 50
+    for found, score in got:
+        assert score == pytest.approx(brute_score(model, counts, b" ".join(found[:-1]).decode()), rel=1e-4)
+
+
+def test_lm_probabilities_are_normalised(spark, monkeypatch):
+    """Over the training vocabulary and one unknown token for each ending, the probabilities after any context add up to 1."""
+    monkeypatch.setattr(lbl, "HEAD", 12)
     texts = spark.createDataFrame(lm_rows(), "doc_id long, text string")
-    counts, model, total, distinct, others = lbl.fit(texts)
-    assert np.allclose((10**model.table).sum(axis=1), 1)
-    n = {bytes(r["token"]): r["n"] for r in counts.collect()}
-    rest = [math.log10(n[t] + 1) - others for t in n if model.known.get(t, model.head) >= model.head] + [-others]
-    assert sum(10**x for x in rest) == pytest.approx(1)
+    counts, model, total, distinct = lbl.fit(texts)
+    size = len(model.net.after)
+    assert size == 12 + lbl.ENDINGS and total == sum(r["n"] for r in counts.collect())
+    for context in ([0, 0, 0], [3, 0, 0], [50, 5, 1]):
+        before = np.repeat(np.array(context)[:, None], size, axis=1)
+        assert (10 ** model.net.log10_p(np.arange(size), before)).sum() == pytest.approx(1, rel=1e-5)
+    inside = Counter({e: 1 for e in range(lbl.ENDINGS)})
+    for r in counts.collect():
+        if bytes(r["token"]) not in model.classes:
+            inside[lbl.ending(bytes(r["token"]))] += r["n"] + 1
+    assert [10**x for x in model.masses] == pytest.approx([inside[e] for e in range(lbl.ENDINGS)])
     assert lbl.score_texts(texts.limit(0)).count() == 0
 
 
-def test_nce_recovers_the_conditional_distribution():
+def test_many_equal_counts_do_not_empty_the_list_of_frequent_tokens(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 3) for i in range(5_000)] + [(lbl.END, 7)], "token binary, n long")
+    assert 2_900 < len(lbl.frequent_tokens(counts, 3_000)) <= 3_001
+
+
+def test_nce_with_drawn_noise_learns_conditional_distributions():
+    """Classes in two groups follow a chain with one token of memory two tokens back; other places of the context are noise."""
     r = np.random.default_rng(0)
-    truth = r.dirichlet(np.full(12, 0.4), 12)
-    pairs = np.round(truth * 50_000)
-    got = 10 ** lbl.train(pairs, width=12, steps=1500)
-    assert np.abs(got - pairs / pairs.sum(axis=1, keepdims=True)).max() < 0.03
+    size = 100
+    follow = r.permutation(size)
+    text = [0, 1]
+    for _ in range(60_000):
+        text.append(int(follow[text[-2]]) if r.random() < 0.8 else int(r.integers(size)))
+    net = lbl.Net.fresh(np.bincount(text, minlength=size), 32)
+    trainer = lbl.Trainer(net, 0)
+    now, before = lbl.windows([text])
+    for _ in range(12):
+        for at in range(0, len(now), 2_000):
+            trainer.step(now[at : at + 2_000], before[:, at : at + 2_000])
+    p = 10 ** net.log10_p(follow[before[1, 100:]], before[:, 100:])
+    assert p.mean() > 0.65
+    assert net.log10_p(now, before).mean() > -0.75  # the unigram distribution has -2
 
 
 def test_rules_from_trees_and_lasso():

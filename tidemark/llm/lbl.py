@@ -1,28 +1,37 @@
 """Language-model scoring with a log-bilinear model (Mnih and Hinton, 2007) trained by noise-contrastive estimation.
 
-The model predicts a token from the one before it: log p(w | h) is r_h D r_w + b_w up to the normaliser, for the HEAD most
-frequent tokens and one class for all others, whose members share it by their add-one unigram frequencies. All the model
-needs from the corpus are its token counts and the counts of neighbouring classes; Spark gathers both over every training
-document, and the second has at most (HEAD + 1)^2 cells whatever the corpus. With them numpy maximises the expected NCE
-objective exactly, noise included. One batched matrix product then gives the normalised log-probabilities of every class in
-every context, which is the table that documents are scored with.
+The vectors of the last CONTEXT tokens, each weighted by the place it stands in, add up to a prediction of the next token's
+vector. The HEAD most frequent tokens have vectors of their own; each other token has that of its ending (its last bytes,
+hashed into ENDINGS classes), inside which it takes its add-one unigram share. Classes lie in groups of WIDE, and
+p(class | context) = p(group | context) p(class | group, context), two softmaxes over products with the prediction, so that
+normalising costs the root of the vocabulary. Every Spark task trains the model on all tokens of its part of the training
+documents, in batches with noise drawn for each, and the tasks' vectors are averaged, weighted by how often they occurred.
+Scores are matrix products over batches of tokens.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.langid import held_out
 from tidemark.workspace import materialise
 
-HEAD, WIDTH, NOISE, STEPS, SEED = 800, 32, 8, 250, 11
+#: Tokens with vectors of their own, classes of endings and the bytes of one, classes in a group.
+HEAD, ENDINGS, ENDING, WIDE = 4_000, 96, 3, 64
+
+#: Tokens of context, length of a vector, noise samples (drawn for each softmax of a batch; with 8, biases drift), tokens in a
+#: batch, size of Adagrad's steps.
+CONTEXT, WIDTH, NOISE, BATCH, RATE, SEED = 3, 16, 24, 8_192, 0.1, 11
 
 #: Counts of at most so many frequent tokens, none longer than LONGEST bytes, are sent to every task; all others are joined.
 FREQUENT, LONGEST = 100_000, 64
@@ -63,95 +72,238 @@ def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
     """At most ``most`` (token, n), every token above some count, by falling count; the end is always the first.
 
-    The bar is found from a histogram of counts in steps of an eighth of a doubling.
+    The bar is found from a histogram of counts in steps of an eighth of a doubling; the step that it lies in is divided
+    further by the tokens' hash, so that many equal counts do not empty the list.
     """
-    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    step, part = F.floor(F.log2(F.col("n").cast("double")) * 8), F.crc32("token") % 1_000
     short = counts.where((F.octet_length("token") <= LONGEST) & (F.col("token") != F.lit(END)))
-    bar, total = None, 0
+    taken, total = F.lit(False), 0
     for level, n in sorted(short.groupBy(step.alias("level")).count().collect(), reverse=True):
-        total += n
-        if total > most:
+        if total + n > most:
+            bound = 0
+            for k, m in sorted(short.where(step == level).groupBy(part.alias("part")).count().collect()):
+                total += m
+                if total > most:
+                    break
+                bound = k + 1
+            taken |= (step == level) & (part < bound)
             break
-        bar = level
-    chosen = [] if bar is None else [(bytes(r["token"]), r["n"]) for r in short.where(step >= bar).collect()]
+        total += n
+        taken |= step == level
+    chosen = [(bytes(r["token"]), r["n"]) for r in short.where(taken).collect()]
     ends = counts.where(F.col("token") == F.lit(END)).first()
     return [(END, ends["n"] if ends else 0), *sorted(chosen, key=lambda r: (-r[1], r[0]))]
 
 
-def pair_counts(texts: DataFrame, head: list[bytes], text_col: str = "text") -> np.ndarray:
-    """How often class j follows class i; the class len(head) holds all other tokens, and a text begins after an end."""
-    shared, size = texts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(head)}), len(head) + 1
+def ending(token: bytes) -> int:
+    return zlib.crc32(token[-ENDING:]) % ENDINGS
 
-    def count(batches):
-        index, cells = shared.value, np.zeros(size * size, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                at = np.array([0, *(index.get(t, size - 1) for t in tokens(text.as_py()))])
-                keys, n = np.unique(at[:-1] * size + at[1:], return_counts=True)
-                cells[keys] += n
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
 
-    rows = texts.select(F.col(text_col).alias("text")).mapInArrow(count, "cell long, n long")
-    pairs = np.zeros(size * size)
-    for cell, n in rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
-        pairs[cell] = n
-    return pairs.reshape(size, size)
+class Classes(dict):
+    """token -> class: the number of a token of the head, else the head's size and the token's ending."""
+
+    def __missing__(self, token: bytes) -> int:
+        return self.head + ending(token)
 
+    def __init__(self, head: Iterable[bytes]):
+        super().__init__((t, i) for i, t in enumerate(head))
+        self.head = len(self)
 
-def train(pairs: np.ndarray, width: int = WIDTH, noise: int = NOISE, steps: int = STEPS, seed: int = SEED) -> np.ndarray:
-    """Normalised log10 p(class | class before), from pair counts, by Adam on the expected NCE objective.
 
-    The noise is the classes' smoothed unigram distribution, ``noise`` samples to each token.
+def windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of all tokens of ``texts``, the CONTEXT classes before each, the nearest first); ends stand before a text."""
+    flat = np.array([c for text in texts for c in [*[0] * CONTEXT, *text]], np.int16)
+    lengths = np.array([len(text) + CONTEXT for text in texts])
+    starts = np.cumsum(lengths) - lengths
+    inside = np.ones(len(flat), bool)
+    for k in range(CONTEXT):
+        inside[starts + k] = False
+    at = np.flatnonzero(inside)
+    return flat[at], np.stack([flat[at - k] for k in range(1, CONTEXT + 1)])
+
+
+@dataclass
+class Net:
+    """before: vectors of context classes; after, bias: of predicted classes; group, group_bias; place: weights of places."""
+
+    before: np.ndarray
+    after: np.ndarray
+    bias: np.ndarray
+    group: np.ndarray
+    group_bias: np.ndarray
+    place: np.ndarray
+    often: np.ndarray
+
+    @staticmethod
+    def fresh(often: np.ndarray, width: int = WIDTH, seed: int = SEED) -> Net:
+        """Small random vectors; biases and noise are the unigram frequencies of classes that occur ``often``, add one."""
+        rng, groups = np.random.default_rng(seed), -(-len(often) // WIDE)
+        often = often + 1.0
+        of_group = np.add.reduceat(often, np.arange(0, len(often), WIDE))
+        biases = np.log(often / np.repeat(of_group, WIDE)[: len(often)]), np.log(of_group / of_group.sum())
+        vectors = (rng.normal(0, 0.1, (n, width)).astype(np.float32) for n in (len(often), len(often), groups))
+        before, after, group = vectors
+        return Net(before, after, biases[0].astype(np.float32), group, biases[1].astype(np.float32), np.ones((CONTEXT, width), np.float32), often)
+
+    def params(self) -> list[np.ndarray]:
+        return [self.before, self.after, self.bias, self.group, self.group_bias, self.place]
+
+    def predictions(self, before: np.ndarray) -> np.ndarray:
+        return sum(self.before[b] * w for b, w in zip(before, self.place, strict=True))
+
+    def log10_p(self, classes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Normalised log10 p of each class given those before it."""
+        ahead, of = self.predictions(before), classes // WIDE
+        out = _log_softmax_at(ahead @ self.group.T + self.group_bias, of).astype(np.float64)
+        for g, rows in _by_group(of):
+            part = slice(g * WIDE, (g + 1) * WIDE)
+            out[rows] += _log_softmax_at(ahead[rows] @ self.after[part].T + self.bias[part], classes[rows] - g * WIDE)
+        return out / math.log(10)
+
+
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    top = logits.max(axis=1, keepdims=True)
+    return logits[np.arange(len(at)), at] - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1))
+
+
+def _by_group(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(of, kind="stable")
+    found, starts = np.unique(of[order], return_index=True)
+    return zip(found.tolist(), np.split(order, starts[1:]), strict=True)
+
+
+def _nce(ahead, target, vectors, bias, chance, noise, rng):
+    """Gradients of the NCE objective by (ahead, vectors, bias): real targets against ``noise`` classes drawn by ``chance``."""
+    drawn = np.minimum(np.searchsorted(np.cumsum(chance), rng.random(noise)), len(chance) - 1)
+    offset = (bias - np.log(noise * chance)).astype(np.float32)
+    real, false = vectors[target], vectors[drawn]
+    up = 1 / (1 + np.exp((ahead * real).sum(axis=1) + offset[target]))
+    down = -1 / (1 + np.exp(-(ahead @ false.T + offset[drawn])))
+    picked = np.zeros((len(vectors), len(target)), np.float32)
+    picked[target, np.arange(len(target))] = up
+    by_vectors, by_bias = picked @ ahead, picked.sum(axis=1)
+    np.add.at(by_vectors, drawn, down.T @ ahead)
+    np.add.at(by_bias, drawn, down.sum(axis=0))
+    return up[:, None] * real + down @ false, by_vectors, by_bias
+
+
+class Trainer:
+    """Steps of Adagrad on batches of tokens."""
+
+    def __init__(self, net: Net, seed: int, noise: int = NOISE, rate: float = RATE):
+        self.net, self.noise, self.rate, self.rng = net, noise, rate, np.random.default_rng([SEED, seed])
+        self.squares = [np.full_like(p, 1e-6) for p in net.params()]
+        self.seen = [np.zeros(len(net.often)), np.zeros(len(net.often))]
+        self.of_group = np.add.reduceat(net.often, np.arange(0, len(net.often), WIDE))
+
+    def step(self, classes: np.ndarray, before: np.ndarray) -> None:
+        net, of = self.net, classes // WIDE
+        ahead = net.predictions(before)
+        grads = [np.zeros_like(p) for p in net.params()]
+        back, grads[3], grads[4] = _nce(ahead, of, net.group, net.group_bias, self.of_group / self.of_group.sum(), self.noise, self.rng)
+        for g, rows in _by_group(of):
+            part = slice(g * WIDE, (g + 1) * WIDE)
+            chance = net.often[part] / self.of_group[g]
+            more, grads[1][part], grads[2][part] = _nce(ahead[rows], classes[rows] - g * WIDE, net.after[part], net.bias[part], chance, self.noise, self.rng)
+            back[rows] += more
+        for k, (b, weight) in enumerate(zip(before, net.place, strict=True)):
+            order = np.argsort(b, kind="stable")
+            found, starts = np.unique(b[order], return_index=True)
+            grads[0][found] += np.add.reduceat(back[order], starts) * weight
+            grads[5][k] = (back * net.before[b]).sum(axis=0)
+        for p, g, s in zip(net.params(), grads, self.squares, strict=True):
+            s += g * g
+            p += self.rate * g / np.sqrt(s)
+        for seen, these in zip(self.seen, (before[0], classes), strict=True):
+            seen += np.bincount(these, minlength=len(seen))
+
+
+def _batches(lists: Iterable[list[int]], most: int = BATCH) -> Iterator[list[list[int]]]:
+    """Lists of whole texts with ``most`` tokens or more together, but for the last."""
+    held, n = [], 0
+    for one in lists:
+        held.append(one)
+        n += len(one)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def train(texts: DataFrame, head: list[bytes], often: np.ndarray, text_col: str = "text", width: int = WIDTH) -> Net:
+    """The average of the models that tasks train from one start on their parts of ``texts``.
+
+    A vector is weighted by the times its class occurred in the task; classes that never occur stay as they began. A task
+    returns as many rows as there are classes, whatever its part; a long text takes several steps.
     """
-    size, total = len(pairs), max(1.0, pairs.sum())
-    data, before = (pairs / total).astype(np.float32), (pairs.sum(axis=1, keepdims=True) / total).astype(np.float32)
-    unigram = (pairs.sum(axis=0) + 1) / (pairs.sum() + size)
-    drawn = (noise * unigram).astype(np.float32)
-    rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (size, width)), rng.normal(0, 0.1, (width, width)), np.log(unigram)]
-    params = [p.astype(np.float32) for p in params]
-    means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for t in range(1, steps + 1):
-        words, mixed, bias = params
-        ahead = words @ mixed
-        real = 1 / (1 + np.exp(np.log(drawn) - (ahead @ words.T + bias)))  # chance that it is no noise
-        slope = data * (1 - real) - before * drawn * real
-        back = slope @ words
-        grads = [slope.T @ ahead + back @ mixed.T, words.T @ back, slope.sum(axis=0)]
-        rate = 0.02 * (1 - t / (steps + 1))
-        for p, g, m, s in zip(params, grads, means, squares, strict=True):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            p += rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-    words, mixed, bias = (p.astype(np.float64) for p in params)
-    logits = words @ mixed @ words.T + bias
-    logits -= logits.max(axis=1, keepdims=True)
-    return (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / math.log(10)
+    shared = texts.sparkSession.sparkContext.broadcast((head, often))
+    values = [f"v{k}" for k in range(width + 1)]
+
+    def run(batches):
+        classes = Classes(shared.value[0])
+        trainer = Trainer(Net.fresh(shared.value[1], width), TaskContext.get().partitionId())
+        lists = ([classes[t] for t in tokens(text.as_py())] for batch in batches for text in batch.column(0))
+        for some in _batches(lists):
+            now, before = windows(some)
+            for at in range(0, len(now), 2 * BATCH):
+                trainer.step(now[at : at + 2 * BATCH], before[:, at : at + 2 * BATCH])
+        net, (as_before, as_after) = trainer.net, trainer.seen
+        none = np.zeros((len(often), 1), np.float32)
+        everywhere = [np.full(n, as_after.sum()) for n in (len(net.group), CONTEXT)]
+        tables = [np.hstack([net.before, none]), np.hstack([net.after, net.bias[:, None]]), np.hstack([net.group, net.group_bias[:, None]]), np.hstack([net.place, none[:CONTEXT]])]
+        for kind, (table, weight) in enumerate(zip(tables, [as_before, as_after, *everywhere], strict=True)):
+            rows = np.flatnonzero(weight)
+            columns = [np.full(len(rows), kind, np.int32), rows.astype(np.int32), weight[rows], *(table[rows].astype(np.float64) * weight[rows, None]).T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "row", "weight", *values])
+
+    schema = "kind int, row int, weight double, " + ", ".join(f"{v} double" for v in values)
+    trained = texts.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
+    # Sums in another order differ in their last digits; rounding makes reruns agree.
+    mean = trained.groupBy("kind", "row").agg(*(F.round(F.sum(v) / F.sum("weight"), 6).alias(v) for v in values))
+    net = Net.fresh(often, width)
+    targets = [(net.before, None), (net.after, net.bias), (net.group, net.group_bias), (net.place, None)]
+    for kind, row, *v in mean.collect():
+        targets[kind][0][row] = v[:-1]
+        if targets[kind][1] is not None:
+            targets[kind][1][row] = v[-1]
+    return net
 
 
 @dataclass
 class Model:
-    """What tasks need: frequent tokens with their log10(n + 1), the first ``head`` of them classes of their own."""
+    """What tasks need: frequent tokens with their log10(n + 1), the first ``head`` of them classes of their own, the net, and
+    log10 of the sum of n + 1 over each ending's tokens and one that was never seen."""
 
     known: dict[bytes, int]
     logs: np.ndarray
     seen: np.ndarray
     head: int
-    table: np.ndarray
+    classes: Classes
+    net: Net
+    masses: np.ndarray
 
 
-def fit(train_docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model, int, int, float]:
-    """The token counts as a table, the model, N, V and log10 of the unigram denominator inside the last class."""
+def fit(train_docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model, int, int]:
+    """The token counts as a table, the model, N and V."""
     counts = materialise(token_counts(train_docs, text_col), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_tokens(counts)
     head = frequent[:HEAD]
-    pairs = pair_counts(train_docs, [t for t, _ in head], text_col)
-    others = total - sum(n for _, n in head) + distinct - sum(n > 0 for _, n in head) + 1
+    rest, masses = np.zeros(ENDINGS), np.ones(ENDINGS)
+    of = F.crc32(F.substring("token", -ENDING, ENDING)) % ENDINGS
+    for e, n, several in counts.groupBy(of.alias("ending")).agg(F.sum("n"), F.count(F.lit(1))).collect():
+        rest[e] += n
+        masses[e] += n + several
+    for token, n in head:
+        if n:
+            rest[ending(token)] -= n
+            masses[ending(token)] -= n + 1
+    names = [t for t, _ in head]
+    net = train(train_docs, names, np.concatenate([[n for _, n in head], rest]), text_col)
     seen = np.array([n for _, n in frequent], dtype=np.float64)
-    model = Model({t: i for i, (t, _) in enumerate(frequent)}, np.log10(seen + 1), seen > 0, len(head), train(pairs))
-    return counts, model, total, distinct, math.log10(others)
+    model = Model({t: i for i, (t, _) in enumerate(frequent)}, np.log10(seen + 1), seen > 0, len(head), Classes(names), net, np.log10(masses))
+    return counts, model, total, distinct
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None) -> DataFrame:
@@ -162,31 +314,40 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text for the fold. Without training rows N and V are 0. Other columns are ignored; an empty table gives no rows.
     """
     out = held_out(F.col(id_col), 7, 2) if out is None else out
-    counts, model, total, distinct, others = fit(docs.where(~out), text_col)
+    counts, model, total, distinct = fit(docs.where(~out), text_col)
     shared, base = docs.sparkSession.sparkContext.broadcast(model), math.log10(total + distinct + 1)
 
     def run(batches):
         m = shared.value
-        kinds = ["n_tokens", "n_known", "n_other", "logs", "score"]
+        kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
+
+        def rows_of(texts):
+            """The columns of ``kinds`` for each of ``texts``; all their tokens are scored together."""
+            lists = [[m.classes[t] for t in found] for found in texts]
+            now, before = windows(lists)
+            steps = range(0, len(now), 2 * BATCH)
+            logs_p = np.concatenate([m.net.log10_p(now[k : k + 2 * BATCH], before[:, k : k + 2 * BATCH]) for k in steps])
+            inside = now >= m.head
+            logs_p[inside] -= m.masses[now[inside] - m.head]
+            at = np.fromiter((m.known.get(t, -1) for found in texts for t in found), np.int64, len(now))
+            # In the class of an ending a token's share is (n + 1) over a fixed sum; the rare ones' n is joined later.
+            logs = np.where(at >= 0, m.logs[at], 0.0)
+            logs_p[inside] += logs[inside]
+            known = (at >= 0) & m.seen[at]
+            end = 0
+            for found in texts:
+                part = slice(end, end := end + len(found))
+                missing = Counter(t for t, k in zip(found, at[part].tolist(), strict=True) if k < 0)
+                yield len(found), int(known[part].sum()), float(logs[part].sum()), float(logs_p[part].sum()), list(missing), list(missing.values())
+
         for batch in batches:
-            rows, rare, times = [], [], []
-            for text in batch.column(2):
-                found = tokens(text.as_py())
-                at = np.fromiter((m.known.get(t, -1) for t in found), dtype=np.int64, count=len(found))
-                classes = np.where((at >= 0) & (at < m.head), at, m.head)
-                before = np.concatenate([[0], classes[:-1]])
-                there = at[at >= 0]
-                # In the last class a token's share is (n + 1) over a fixed sum; the rare ones' n is joined later.
-                inner = m.logs[there[there >= m.head]].sum()
-                missing = Counter(found[i] for i in np.flatnonzero(at < 0))
-                rows.append((len(found), int(m.seen[there].sum()), int((classes == m.head).sum()), float(m.logs[there].sum()), float(m.table[before, classes].sum() + inner)))
-                rare.append(list(missing))
-                times.append(list(missing.values()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.float64()] * 2, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], ["doc_id", "held_out", *kinds, "rare", "times"])
+            rows = [row for some in _batches(tokens(text.as_py()) for text in batch.column(2)) for row in rows_of(some)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            columns = [pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", *(k for k, _ in kinds)])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, n_other long, logs double, score double, rare array<binary>, times array<long>"
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<binary>, times array<long>"
     local = materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
 
     rare = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
@@ -200,5 +361,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("score") + F.col("rare_logs") - F.col("n_other") * others).alias("score"),
+        (F.col("score") + F.col("rare_logs")).alias("score"),
     )
