@@ -51,19 +51,20 @@ def test_lm_counts_and_unigram_base_equal_brute_force(spark, monkeypatch, freque
 def brute_score(model, counts, text):
     """log10 p of a text, token by token, from the net's vectors and the counts of all training tokens."""
     net, total, classes = model.net, 0.0, [0] * lbl.CONTEXT
+    head = {t: k for t, k in model.known.items() if k < model.head}
     softmax = lambda z: [x / sum(math.exp(y) for y in z) for x in map(math.exp, z)]
     endings = Counter()
     for t, n in counts.items():
-        if t not in model.classes:
+        if t not in head:
             endings[zlib.crc32(t[-3:]) % lbl.ENDINGS] += n + 1
     for t in lbl.tokens(text):
-        c = model.classes[t] if t in model.classes else model.head + zlib.crc32(t[-3:]) % lbl.ENDINGS
+        c = head[t] if t in head else model.head + zlib.crc32(t[-3:]) % lbl.ENDINGS
         ahead = sum(net.before[classes[-k]].astype(float) * net.place[k - 1] for k in range(1, lbl.CONTEXT + 1))
         group, start = c // lbl.WIDE, c // lbl.WIDE * lbl.WIDE
         p = softmax([float(ahead @ v + b) for v, b in zip(net.group, net.group_bias)])[group]
         members = range(start, min(start + lbl.WIDE, len(net.after)))
         p *= softmax([float(ahead @ net.after[m] + net.bias[m]) for m in members])[c - start]
-        if t not in model.classes:
+        if t not in head:
             p *= (counts[t] + 1) / (endings[c - model.head] + 1)
         total += math.log10(p)
         classes.append(c)
@@ -96,7 +97,7 @@ def test_lm_probabilities_are_normalised(spark, monkeypatch):
         assert (10 ** model.net.log10_p(np.arange(size), before)).sum() == pytest.approx(1, rel=1e-5)
     inside = Counter({e: 1 for e in range(lbl.ENDINGS)})
     for r in counts.collect():
-        if bytes(r["token"]) not in model.classes:
+        if model.known.get(bytes(r["token"]), model.head) >= model.head:
             inside[lbl.ending(bytes(r["token"]))] += r["n"] + 1
     assert [10**x for x in model.masses] == pytest.approx([inside[e] for e in range(lbl.ENDINGS)])
     assert lbl.score_texts(texts.limit(0)).count() == 0

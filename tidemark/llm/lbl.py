@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes
     """
     step, part = F.floor(F.log2(F.col("n").cast("double")) * 8), F.crc32("token") % 1_000
     short = counts.where((F.octet_length("token") <= LONGEST) & (F.col("token") != F.lit(END)))
-    taken, total = F.lit(False), 0
+    taken, total, lowest = F.lit(False), 0, None
     for level, n in sorted(short.groupBy(step.alias("level")).count().collect(), reverse=True):
         if total + n > most:
             bound = 0
@@ -86,10 +87,11 @@ def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes
                 if total > most:
                     break
                 bound = k + 1
-            taken |= (step == level) & (part < bound)
+            taken = (step == level) & (part < bound)
             break
-        total += n
-        taken |= step == level
+        total, lowest = total + n, level
+    if lowest is not None:
+        taken |= step >= lowest
     chosen = [(bytes(r["token"]), r["n"]) for r in short.where(taken).collect()]
     ends = counts.where(F.col("token") == F.lit(END)).first()
     return [(END, ends["n"] if ends else 0), *sorted(chosen, key=lambda r: (-r[1], r[0]))]
@@ -112,7 +114,8 @@ class Classes(dict):
 
 def windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(classes of all tokens of ``texts``, the CONTEXT classes before each, the nearest first); ends stand before a text."""
-    flat = np.array([c for text in texts for c in [*[0] * CONTEXT, *text]], np.int16)
+    ends = [0] * CONTEXT
+    flat = np.fromiter(chain.from_iterable(chain.from_iterable((ends, text) for text in texts)), np.int16)
     lengths = np.array([len(text) + CONTEXT for text in texts])
     starts = np.cumsum(lengths) - lengths
     inside = np.ones(len(flat), bool)
@@ -162,13 +165,20 @@ class Net:
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1, keepdims=True)
-    return logits[np.arange(len(at)), at] - top[:, 0] - np.log(np.exp(logits - top).sum(axis=1))
+    logits -= logits.max(axis=1, keepdims=True)
+    chosen = logits[np.arange(len(at)), at]
+    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts small integers, the distinct ones, where each begins in that order)."""
+    n = np.bincount(keys)
+    found = np.flatnonzero(n)
+    return np.argsort(keys, kind="stable"), found, (np.cumsum(n) - n)[found]
 
 
 def _by_group(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(of, kind="stable")
-    found, starts = np.unique(of[order], return_index=True)
+    order, found, starts = _runs(of)
     return zip(found.tolist(), np.split(order, starts[1:]), strict=True)
 
 
@@ -207,8 +217,7 @@ class Trainer:
             more, grads[1][part], grads[2][part] = _nce(ahead[rows], classes[rows] - g * WIDE, net.after[part], net.bias[part], chance, self.noise, self.rng)
             back[rows] += more
         for k, (b, weight) in enumerate(zip(before, net.place, strict=True)):
-            order = np.argsort(b, kind="stable")
-            found, starts = np.unique(b[order], return_index=True)
+            order, found, starts = _runs(b)
             grads[0][found] += np.add.reduceat(back[order], starts) * weight
             grads[5][k] = (back * net.before[b]).sum(axis=0)
         for p, g, s in zip(net.params(), grads, self.squares, strict=True):
@@ -279,7 +288,7 @@ class Model:
     logs: np.ndarray
     seen: np.ndarray
     head: int
-    classes: Classes
+    class_of: list[int]
     net: Net
     masses: np.ndarray
 
@@ -300,9 +309,10 @@ def fit(train_docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model
             rest[ending(token)] -= n
             masses[ending(token)] -= n + 1
     names = [t for t, _ in head]
+    classes = Classes(names)
     net = train(train_docs, names, np.concatenate([[n for _, n in head], rest]), text_col)
     seen = np.array([n for _, n in frequent], dtype=np.float64)
-    model = Model({t: i for i, (t, _) in enumerate(frequent)}, np.log10(seen + 1), seen > 0, len(head), Classes(names), net, np.log10(masses))
+    model = Model({t: i for i, (t, _) in enumerate(frequent)}, np.log10(seen + 1), seen > 0, len(head), [classes[t] for t, _ in frequent], net, np.log10(masses))
     return counts, model, total, distinct
 
 
@@ -323,13 +333,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def rows_of(texts):
             """The columns of ``kinds`` for each of ``texts``; all their tokens are scored together."""
-            lists = [[m.classes[t] for t in found] for found in texts]
+            numbers = [[m.known.get(t, -1) for t in found] for found in texts]
+            # A frequent token's class is looked up by its number; a rare one has that of its ending.
+            lists = [[m.class_of[k] if k >= 0 else m.head + ending(t) for k, t in zip(ks, found, strict=True)] for ks, found in zip(numbers, texts, strict=True)]
             now, before = windows(lists)
             steps = range(0, len(now), 2 * BATCH)
             logs_p = np.concatenate([m.net.log10_p(now[k : k + 2 * BATCH], before[:, k : k + 2 * BATCH]) for k in steps])
             inside = now >= m.head
             logs_p[inside] -= m.masses[now[inside] - m.head]
-            at = np.fromiter((m.known.get(t, -1) for found in texts for t in found), np.int64, len(now))
+            at = np.fromiter(chain.from_iterable(numbers), np.int64, len(now))
             # In the class of an ending a token's share is (n + 1) over a fixed sum; the rare ones' n is joined later.
             logs = np.where(at >= 0, m.logs[at], 0.0)
             logs_p[inside] += logs[inside]
@@ -337,7 +349,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             end = 0
             for found in texts:
                 part = slice(end, end := end + len(found))
-                missing = Counter(t for t, k in zip(found, at[part].tolist(), strict=True) if k < 0)
+                missing = Counter(found[k] for k in np.flatnonzero(at[part] < 0).tolist())
                 yield len(found), int(known[part].sum()), float(logs[part].sum()), float(logs_p[part].sum()), list(missing), list(missing.values())
 
         for batch in batches:
