@@ -1,4 +1,4 @@
-"""The ten registered queries of the training-data operators, over the whole given tables, and their SQL."""
+"""The registered queries of the training-data operators, over the whole given tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, lbl, lines, media, mixing, rules, simhash, urls
+from tidemark.llm import bpe, exact_dedup, langid, lbl, lines, media, mixing, packing, rules, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
     "op2_media_chunks": op2_media_chunks,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op13_vector_packing": op13_vector_packing,
 }
 
 QUERY_ORACLE_SQL = {
