@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, lbl, lines, media, mixing, packing, rules, simhash, urls
+from tidemark.llm import bpe, exact_dedup, langid, lbl, lines, media, mixing, negatives, packing, rules, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.vectors(rows.withColumn("label", shifted)), F.col("vec_id") % 100 == 0)
+
+
 def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_vector_packing": op13_vector_packing,
 }
 
@@ -125,4 +132,24 @@ QUERY_ORACLE_SQL = {
         SELECT s.doc_id, s.size, c.source_size, c.target, s.size * c.copies AS taken
         FROM sizes s JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source AND s.hash = c.hash
     """,
+    "op11_hard_negatives": """
+        WITH rows AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+        pairs AS (
+            SELECT DISTINCT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+                   list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id),
+        positives AS (
+            SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score
+            FROM pairs WHERE label = anchor_label
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, row_number() OVER best::INT AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+        FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND n.label <> p.anchor_label
+             AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+        WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+        QUALIFY row_number() OVER best <= 5
+    """,
 }
