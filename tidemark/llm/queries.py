@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, lbl, lines, media, mixing, negatives, packing, rules, simhash, urls
+from tidemark.llm import bpe, exact_dedup, langid, lbl, lines, media, mixing, negatives, packing, rules, search, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.vectors(rows.withColumn("label", shifted)), F.col("vec_id") % 100 == 0)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_ranked_search": op12_ranked_search,
     "op13_vector_packing": op13_vector_packing,
 }
 
@@ -152,4 +157,26 @@ QUERY_ORACLE_SQL = {
         WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
         QUALIFY row_number() OVER best <= 5
     """,
+    "op12_ranked_search": r"""
+        WITH texts AS (
+            SELECT 'd' || row_number() OVER () AS row, doc_id AS id, text FROM documents
+            UNION ALL SELECT 'q' || row_number() OVER (), item_id, text FROM benchmark),
+        words AS (
+            SELECT row, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM texts),
+        counts AS (SELECT row, id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY row)::BIGINT AS n FROM words GROUP BY row, id, term),
+        docs AS (SELECT * FROM counts WHERE row[1] = 'd'),
+        total AS (SELECT count(DISTINCT row) AS docs, sum(tf)::BIGINT AS terms FROM docs),
+        weights AS (SELECT term, floor(1000 * ln((2 * max(total.docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM docs, total GROUP BY term),
+        scored AS (
+            SELECT q.row AS item, q.id AS item_id, d.row, d.id AS doc_id,
+                   sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (100 - 75 + (75 * d.n * total.docs) // total.terms))))::BIGINT AS score
+            FROM counts q JOIN docs d ON q.term = d.term JOIN weights ON weights.term = d.term, total
+            WHERE q.row[1] = 'q'
+            GROUP BY ALL)
+        SELECT item_id, row_number() OVER best::INT AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER best <= 10
+    """,
 }
