@@ -42,9 +42,12 @@ def w10_t7_touch_template(spark, sf_dir):
     return sequences.touch_template(T.touches(spark, sf_dir), ["entityId", "channel"], "ts", keys, F.lit("base"), ["touchId"]).select("touchId", "touch", "template")
 
 
-@query(T.oracle("candidates", """c AS (SELECT *, actionId || '::' || channel AS slug, bool_or(coalesce(workflowState IN ('PRESENTED', 'DECLINED'), false)) OVER w AS settled, bool_or(coalesce(workflowState IN ('IN_PROCESS', 'SUPPRESSING'), false)) OVER w AS busy FROM candidates WINDOW w AS (PARTITION BY entityId, evaluatedAt)),
+SIBLING_VERDICTS = T.oracle("candidates", """c AS (SELECT *, actionId || '::' || channel AS slug, bool_or(coalesce(workflowState IN ('PRESENTED', 'DECLINED'), false)) OVER w AS settled, bool_or(coalesce(workflowState IN ('IN_PROCESS', 'SUPPRESSING'), false)) OVER w AS busy FROM candidates WINDOW w AS (PARTITION BY entityId, evaluatedAt)),
     b AS (SELECT entityId, evaluatedAt, arg_min(slug, (-coalesce(score, '-infinity'::DOUBLE), slug)) AS best FROM c WHERE workflowState = 'CREATED' GROUP BY ALL)
-    SELECT c.entityId, c.evaluatedAt, actionId, channel, CASE WHEN settled OR best <> slug THEN 'LOSE' WHEN busy THEN 'WAIT' ELSE 'SEND' END AS verdict FROM c JOIN b ON b.entityId = c.entityId AND b.evaluatedAt = c.evaluatedAt WHERE workflowState = 'CREATED'"""))
+    SELECT c.entityId, c.evaluatedAt, actionId, channel, CASE WHEN settled OR best <> slug THEN 'LOSE' WHEN busy THEN 'WAIT' ELSE 'SEND' END AS verdict FROM c JOIN b ON b.entityId = c.entityId AND b.evaluatedAt = c.evaluatedAt WHERE workflowState = 'CREATED'""")
+
+
+@query(SIBLING_VERDICTS)
 def w13_j21_t8_debounce(spark, sf_dir):
     c = T.candidates(spark, sf_dir).withColumnRenamed("workflowState", "state")
     return sequences.debounce_verdict(c, ["entityId", "evaluatedAt"]).where("verdict is not null").select("entityId", "evaluatedAt", "actionId", "channel", "verdict")

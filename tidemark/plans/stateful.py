@@ -1,4 +1,4 @@
-"""Queries: batch twins of the lifecycle and of the throttle gate. They have no SQL; tests hold them against plain loops and streams."""
+"""Queries: keyed state as streams over file topics, and batch twins of the lifecycle and of the throttle gate."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.register import Register
 from tidemark.sources import tables as T
-from tidemark.streaming import gates, lifecycle
+from tidemark.plans.sequences import SIBLING_VERDICTS
+from tidemark.streaming import gates, lifecycle, siblings, topics
 
 query = Register()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -30,3 +31,39 @@ def t5_lifecycle(spark, sf_dir):
 def t6_throttle(spark, sf_dir):
     t = T.touches(spark, sf_dir).select(F.col("touchId").alias("id"), "channel", (F.col("touchId") % 4).cast("int").alias("shard"), "ts", F.lit(0).cast("long").alias("lakeRate"))
     return gates.throttle(t, {"email": 20, "sms": 4}, T.DAY_MS, shards=4)
+
+
+DEBOUNCE = siblings.Config(debounce_ms=59_999)
+CONTEST = ["entityId", "evaluatedAt"]
+
+
+def sibling_contests(spark, sf_dir):
+    """Events of the members' contests: where each candidate of an evaluation is, and creates of those that wait to be sent."""
+    c = T.candidates(spark, sf_dir).where("workflowState is not null").withColumn("ts", F.col("evaluatedAt"))
+    creates, states = c.where("workflowState = 'CREATED'"), c.where("workflowState <> 'CREATED'").withColumnRenamed("workflowState", "state")
+    return siblings.sibling_events(creates, states, CONTEST)
+
+
+@query(SIBLING_VERDICTS)
+def t8_stream_debounce(spark, sf_dir):
+    """The stream's first verdict on each created candidate; losers have left the contest, who waits is judged again."""
+    topic = topics.publish(sibling_contests(spark, sf_dir), "contests", CONTEST, idle_ms=T.DAY_MS)
+    found = topics.drain(siblings.stream_siblings(topic.stream(spark), CONTEST, DEBOUNCE), "verdicts")
+    return found.where(F.col("ts") == F.col("evaluatedAt") + DEBOUNCE.debounce_ms).select(*CONTEST, "actionId", "channel", "verdict")
+
+
+LIFE = lifecycle.Config()
+
+
+@query(SIBLING_VERDICTS.replace("SELECT c.entityId", ", v AS (SELECT c.entityId", 1) + f""")
+    SELECT v.entityId || '-' || v.evaluatedAt AS entityId, actionId, channel, evaluatedAt + t.ms AS ts, t.state, t.op
+    FROM v JOIN (VALUES (NULL, 0, 'CREATED', NULL), (true, {DEBOUNCE.debounce_ms}, 'DEBOUNCED', NULL), (false, {LIFE.debounce_ms}, 'IN_PROCESS', 'DISPATCH'), (false, {LIFE.debounce_ms + LIFE.ttl_ms}, 'EXPIRED', NULL)) t(lost, ms, state, op)
+      ON t.lost IS NULL OR t.lost = (verdict = 'LOSE')
+    WHERE evaluatedAt + t.ms <= {T.NOW_MS}""")
+def t8_t5_debounced_lifecycle(spark, sf_dir):
+    """Lifecycles of created candidates, one for each evaluation: the losers' signals end them before they are dispatched."""
+    named = F.concat_ws("-", "entityId", F.col("evaluatedAt").cast("string"))
+    lost = siblings.debounce_signals(siblings.replay_siblings(sibling_contests(spark, sf_dir), CONTEST, T.NOW_MS, DEBOUNCE).withColumn("entityId", named))
+    creates = T.candidates(spark, sf_dir).where("workflowState = 'CREATED'").withColumn("entityId", named).withColumns({"ts": F.col("evaluatedAt"), "op": F.lit("CREATE")})
+    none = creates.limit(0).withColumn("raw", F.lit(None).cast("string"))
+    return lifecycle.replay_lifecycle(lifecycle.lifecycle_events(creates, none, lost), T.NOW_MS, LIFE)
