@@ -10,7 +10,6 @@ from tidemark.functions import scalars
 from tidemark.functions.conditions import tree_to_column
 from tidemark.operators import ingest, joining, learning, merging, reports, rules
 from tidemark.sources import tables
-from tidemark.streaming import spine
 
 FACTS = {"n": "5", "s": "abc", "t": "true", "one": "1", "bad": "x"}
 
@@ -141,22 +140,6 @@ def test_trained_models_beat_chance(spark):
     assert out.where("prediction = arm").count() == 100
 
 
-def test_micro_batches_give_the_gold_of_one_batch(spark, tmp_path):
-    raw = [(f'{{"entityId": "m{i % 3}", "key": "comms.sent.email", "value": {i}, "eventTs": {i}}}' if i % 2 else f'{{"contactId": "m{i % 3}", "ts": {i}, "fields": {{"is_dnc": true, "riskScore": {i}}}}}',) for i in range(30)]
-    split = spine.Lake(spark, f"file://{tmp_path}/a")
-    for k in range(3):
-        batch = spark.createDataFrame(raw[k * 10 : k * 10 + 10], "payload string")
-        for _ in range(2):  # a retry changes nothing
-            spine.process_batch(split, 100)(batch, k)
-    whole = spine.Lake(spark, f"file://{tmp_path}/b")
-    spine.process_batch(whole, 100)(spark.createDataFrame(raw, "payload string"), 0)
-    rows = lambda df: sorted(map(tuple, df.select("entityId", "key", "value", "eventTs").collect()))
-    assert rows(split.read("gold")) == rows(whole.read("gold")) and split.versions("gold") == [0, 1, 2]
-    counts = lambda df: sorted(map(tuple, df.collect()))
-    silver = spark.read.parquet(f"file://{tmp_path}/a/silver_batch/v*")
-    assert counts(spine.rollover(silver, 100, 1000)) == counts(whole.read("comms")) == counts(split.read("comms"))
-
-
 def test_bootstrap_is_idempotent(spark, tmp_path):
     name = f"lake_{tmp_path.name.replace('-', '_')}"
     spark.sql(f"CREATE DATABASE {name} LOCATION 'file://{tmp_path}/{name}'")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 FLAGSHIP = "a16_rule_funnel"
 
-PARTS = ("ingest", "merging", "rules", "joining", "reports", "sequences", "learning", "stateful")
+PARTS = ("ingest", "merging", "rules", "joining", "reports", "sequences", "learning", "stateful", "streams")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -54,6 +54,7 @@ def publish(df: DataFrame, name: str, keys: list[str], ts: str = "ts", steps: in
         begin = first + step * width
         rows.where((F.col(ts) >= begin) & (F.col(ts) < begin + width)).repartition(*keys).write.mode("append").parquet(topic.path)
     if idle_ms:
+        # Keys are not null, for filters on them run before the watermark and would take the heartbeat away.
         values = {ts: F.lit(last + 2 * width + idle_ms)} | {k: F.lit("0") for k in keys}
         beat = spark.range(1).select([values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
         beat.write.mode("append").parquet(topic.path)
