@@ -2,6 +2,8 @@ import random
 import uuid
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import streams
@@ -109,6 +111,39 @@ def test_shards_keep_a_cap_together(spark):
         assert sum(gates.cap_share(cap, k, 4) for k in range(4)) == cap
 
 
+@pytest.mark.parametrize("window_ms,cap,ranges", [(1_000, 3, 9), (60_000, 5, 17), (300_000, 40, 5), (86_400_000, 2, 8), (7_000_000, 1, 30)])
+def test_throttle_by_prefix_scan_equals_the_sequence(spark, window_ms, cap, ranges):
+    """A hot channel over many ranges, bursts, equal times, rates over the cap and midnights, against a plain loop."""
+    r, at, rows = random.Random(window_ms), 86_400_000 * 3 - 4_000_000, []
+    for i in range(1_500):
+        at += r.choice([0, 0, 1, 30, 900, 20_000, r.randrange(window_ms + 2) if i % 50 == 0 else 5])
+        rows.append((i, r.choice(["email"] * 8 + ["sms", "mail", None]), r.randrange(2), at, r.choice([0, 0, 0, cap - 1, cap, cap + 5])))
+    caps, want, state = {"email": cap, "sms": 1}, {}, {}
+    for i, channel, shard, ts, rate in sorted(rows, key=lambda x: (x[3], x[0])):
+        now = state.get((channel, shard), gates.FRESH)
+        decision, state[channel, shard] = gates._step(now, ts, rate, caps.get(channel), gates.cap_share(caps.get(channel), shard, 2), window_ms)
+        want[i] = decision
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = gates.throttle(spark.createDataFrame(rows, "id long, channel string, shard int, ts long, lakeRate long"), caps, window_ms, shards=2).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert {x.id: x.decision for x in got} == want and len(got) == len(want) and set(want.values()) >= {"SEND", "WAIT"}
+
+
+def test_waiting_function_is_the_sequence():
+    r = random.Random(2)
+    for window_ms in (1_000, 3_600_000, 30_000_000):
+        ts = np.sort(np.array([r.randrange(2 * 86_400_000) for _ in range(60)]))
+        before, after = gates._waiting_function(ts, 3, window_ms)
+        for w in [*range(40), before[-1] - 1, before[-1]]:
+            now = w
+            for t in ts:
+                now += gates.throttle_decision(9, 0, now, 9, int(t), window_ms, 3) == "WAIT"
+            assert now == (w if w >= before[-1] else int(np.interp(w, before, after)))
+
+
 def test_touch_and_fold_streams_do_not_depend_on_how_input_is_split(spark, tmp_path):
     sends = [(i, "m1", c, i) for i, c in enumerate(["email", "push", "email", "email", "sms"])]
     schema = "id long, entityId string, channel string, ts long"

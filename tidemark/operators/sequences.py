@@ -45,11 +45,21 @@ def debounce_verdict(instances: DataFrame, by: list[str]) -> DataFrame:
 
 
 def admit_batch(sends: DataFrame, caps: dict[str, int], window_ms: int, ts: str, ties: list[str]) -> DataFrame:
-    """Adds decision (SEND or HOLD): the first sends of each channel and fixed window up to the channel's cap; uncapped ones all."""
-    start = (F.col(ts) - F.pmod(F.col(ts), F.lit(window_ms))).alias("w")
-    place = F.row_number().over(Window.partitionBy("channel", start).orderBy(ts, *ties))
+    """Adds decision (SEND or HOLD): the first sends of each channel and fixed window up to the channel's cap; uncapped ones all.
+
+    ``ties`` tells sends of one time apart; sends that agree in it too are admitted together. Of each window only its first sends, as
+    many as the largest cap, are ranked, and Spark drops the others before they are shuffled; the last one admitted
+    is then the bound for all, so no task holds a busy channel.
+    """
+    order = [ts, *ties]
     cap = F.coalesce(F.lit(None).cast("int"), *[F.when(F.col("channel") == c, F.lit(n)) for c, n in caps.items()])
-    return sends.withColumn("decision", F.when(cap.isNull() | (place <= cap), "SEND").otherwise("HOLD"))
+    dated = sends.withColumn("_window", F.col(ts) - F.pmod(F.col(ts), F.lit(window_ms))).withColumn("_cap", cap)
+    place = F.row_number().over(Window.partitionBy("channel", "_window").orderBy(*order))
+    first = dated.where("_cap is not null").select("channel", "_window", "_cap", *order).withColumn("_place", place).where(F.col("_place") <= max(caps.values(), default=0))
+    bounds = first.where(F.col("_place") <= F.col("_cap")).groupBy("channel", "_window").agg(F.max(F.struct(*order)).alias("_bound"))
+    held = dated.join(bounds, ["channel", "_window"], "left")
+    admitted = F.col("_cap").isNull() | F.coalesce(F.struct(*order) <= F.col("_bound"), F.lit(False))
+    return held.withColumn("decision", F.when(admitted, "SEND").otherwise("HOLD")).select(*sends.columns, "decision")
 
 
 def settle_batches(creates: DataFrame, by: list[str], ts: str, gap_ms: int, payload: str) -> DataFrame:

@@ -27,7 +27,11 @@ def t5_lifecycle(spark, sf_dir):
     return lifecycle.replay_lifecycle(contact_events(spark, sf_dir), T.NOW_MS)
 
 
-@query()
+@query(T.oracle("touches", f"""q AS (SELECT touchId, channel, touchId % 4 AS shard, ts, row_number() OVER (PARTITION BY channel, touchId % 4 ORDER BY ts, touchId) AS place, CASE channel WHEN 'email' THEN 5 ELSE 1 END AS share FROM touches WHERE channel IN ('email', 'sms')),
+    g AS (SELECT DISTINCT channel, shard, 0::BIGINT AS place, NULL::BIGINT AS id, NULL::BIGINT AS ts, -{T.NOW_MS}::BIGINT AS start, 0 AS sent, 0 AS waiting, NULL::VARCHAR AS decision FROM q
+        UNION ALL SELECT channel, shard, place, touchId, ts, CASE WHEN fresh THEN ts ELSE start END, n + (n < share)::INT, waiting + (n >= share AND waiting < share)::INT, CASE WHEN n < share THEN 'SEND' WHEN waiting < share THEN 'WAIT' ELSE 'SUPPRESS' END
+        FROM (SELECT q.*, g.start, g.waiting, q.ts - g.start >= {T.DAY_MS} AS fresh, CASE WHEN q.ts - g.start >= {T.DAY_MS} THEN 0 ELSE g.sent END AS n FROM g JOIN q ON q.channel = g.channel AND q.shard = g.shard AND q.place = g.place + 1))
+    SELECT id, channel, ts, decision FROM g WHERE id IS NOT NULL UNION ALL SELECT touchId, channel, ts, 'SEND' FROM touches WHERE channel NOT IN ('email', 'sms')""").replace("WITH ", "WITH RECURSIVE ", 1))
 def t6_throttle(spark, sf_dir):
     t = T.touches(spark, sf_dir).select(F.col("touchId").alias("id"), "channel", (F.col("touchId") % 4).cast("int").alias("shard"), "ts", F.lit(0).cast("long").alias("lakeRate"))
     return gates.throttle(t, {"email": 20, "sms": 4}, T.DAY_MS, shards=4)
