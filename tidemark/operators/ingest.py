@@ -228,15 +228,48 @@ def action_fact_map(dim: DataFrame) -> DataFrame:
     return dim.where("defType = 'ACTION'").select(F.col("id").alias("actionId"), F.explode("factsUsed").alias("key"))
 
 
+# Definitions of tests by name, and what marks test content; milestones by the tasks that their gate asks for.
+TEST_NAMES, TEST_CONTENT = ("varianttest", "complcrit", "complnoexcl"), "vtest"
+GATES = ((6, "upgraded"), (3, "engaged"), (float("-inf"), "onboarded"))
+UNGATED, GATE_FACT = "activated", "completedTasks"
+
+
+def condition_leaves(tree_json: Column) -> Column:
+    """The comparisons (fact, cmp, value) of a condition tree in JSON at any depth, in the order in which they stand.
+
+    A leaf is an object without objects in it; braces inside texts are not expected. Broken or missing JSON has no leaves.
+    """
+    objects = F.coalesce(F.regexp_extract_all(tree_json, F.lit(r"(\{[^{}]*\})"), F.lit(1)), F.array().cast("array<string>"))
+    leaf = "fact string, cmp string, value string"
+    return F.filter(F.transform(objects, lambda x: F.from_json(x, leaf)), lambda x: x["fact"].isNotNull())
+
+
+def milestone_group(inclusion: Column) -> Column:
+    """The milestone that an action leads to, by the number of completed tasks that its gate asks for (the last such condition), else the first one."""
+    tasks = F.transform(F.filter(condition_leaves(inclusion), lambda x: x["fact"].endswith(GATE_FACT) & x["value"].try_cast("double").isNotNull()), lambda x: x["value"].try_cast("double"))
+    last = F.try_element_at(tasks, F.lit(-1))
+    return F.when(last.isNull(), UNGATED).otherwise(F.coalesce(*[F.when(last >= bar, name) for bar, name in GATES]))
+
+
+def driven_fact(used: Column, inclusion: Column) -> Column:
+    """The fact that an action brings about: the first that it uses and that its gate does not ask for at any depth, by its last name."""
+    gate = F.transform(condition_leaves(inclusion), lambda x: x["fact"])
+    return F.substring_index(F.try_element_at(F.filter(used, lambda f: ~F.array_contains(gate, f)), F.lit(1)), ".", -1)
+
+
 def load_arms(dim: DataFrame) -> DataFrame:
-    """One arm for each (action, channel) with a stable index: the arms come in the order of their names.
+    """actionId, channel, name, group, drives, arm: one arm for each (action, channel) with a stable index in the order of their names.
 
-    Only the catalogue is ordered, which is as large as what people author.
+    ``group`` is the milestone of the gate, ``drives`` the fact that a conversion brings about. Definitions of tests, by name or
+    content, and channels without a name have no arm. Only the catalogue is ordered, which is as large as what people author.
     """
     from pyspark.sql import Window
 
-    channels = F.from_json("channelsJson", "array<struct<channel:string>>")
-    arms = dim.where("defType = 'ACTION'").select(F.col("id").alias("actionId"), F.explode(channels).alias("c")).select("actionId", "c.channel")
+    channels = F.from_json("channelsJson", "array<struct<channel:string, contentKey:string>>")
+    junk = F.lower(F.coalesce("name", F.lit(""))).isin(*TEST_NAMES) | F.exists(channels, lambda c: F.coalesce(c["contentKey"].contains(TEST_CONTENT), F.lit(False)))
+    actions = dim.where((F.col("defType") == "ACTION") & F.col("id").isNotNull() & ~F.coalesce(junk, F.lit(False)))
+    arms = actions.select(F.col("id").alias("actionId"), "name", milestone_group(F.col("inclusionJson")).alias("group"), driven_fact(F.col("factsUsed"), F.col("inclusionJson")).alias("drives"), F.explode(channels).alias("c"))
+    arms = arms.select("actionId", "c.channel", "name", "group", "drives").where("coalesce(channel, '') <> ''").distinct()
     return arms.withColumn("arm", (F.row_number().over(Window.orderBy("actionId", "channel")) - 1).cast("long"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import stable01
 from tidemark.operators.joining import asof_features, attach_propensity, episode_states
+from tidemark.operators.selection import value_at, with_prefix
 from tidemark.operators.sequences import days_since_contact, trailing_counts
 
 # Milestones of a journey, the features that each needs, and its reward; a contact's cost; the longest journey.
@@ -85,8 +86,7 @@ def arm_posteriors(examples: DataFrame) -> DataFrame:
 def snips(examples: DataFrame, score: str | None = None) -> DataFrame:
     """One row, value: self-normalised inverse propensity estimate; with ``score`` over the better half by that score."""
     if score is not None:
-        middle = examples.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {score})").alias("_middle"))
-        examples = examples.crossJoin(F.broadcast(middle)).where(F.col(score) >= F.col("_middle"))
+        examples = examples.where(F.col(score) >= F.lit(value_at(examples, score, 0.5)))
     weight = 1 / F.least(F.greatest("propensity", F.lit(0.05)), F.lit(1.0))
     return examples.agg((F.sum(weight * F.col("label")) / F.sum(weight)).alias("value"), F.count(F.lit(1)).alias("n"))
 
@@ -97,10 +97,9 @@ def anneal_temperature(n: Column) -> Column:
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row, auc by rank sums: counts by distinct score first, so the ordered part is as large as the number of scores."""
+    """One row, auc by rank sums: each distinct score's negatives are counted, and summed up by ranges of scores."""
     per = df.groupBy(score).agg(F.sum(label).alias("pos"), (F.count(label) - F.sum(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = with_prefix(per, score, "neg", "below").withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return won.agg((F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
@@ -125,6 +124,17 @@ def policy_readout(trans: DataFrame, policy_arm: str, first_milestone: int) -> D
     return trans.agg(F.avg((F.col(policy_arm) == F.col("arm")).cast("int")).alias("agreement"), F.avg(reached.cast("int")).alias("reach"), F.count(F.lit(1)).alias("n"))
 
 
+def routes_to_engaged(points: DataFrame, by: str, ts: str, ties: list[str], policy_channel: str, engaged: str) -> DataFrame:
+    """One row, routed and credited: of the decision points that lead to an engagement, the share that the policy sends there.
+
+    ``engaged``: the channel on which the member engaged at a point, or null. An engagement is credited backwards along the journey, to every point up
+    to it and after the one before: a reverse window takes the first engagement at or after a point. Points with none ahead do not count.
+    """
+    ahead = Window.partitionBy(by).orderBy(ts, *ties).rowsBetween(0, Window.unboundedFollowing)
+    credited = points.withColumn("_to", F.first(engaged, ignorenulls=True).over(ahead)).where("_to is not null")
+    return credited.agg(F.avg(F.coalesce(F.col(policy_channel) == F.col("_to"), F.lit(False)).cast("int")).alias("routed"), F.count(F.lit(1)).alias("credited"))
+
+
 def channel_mix(scored: DataFrame, by: list[str]) -> DataFrame:
     """channel, members, share of the population whose best channel it is."""
     best = scored.groupBy(*by).agg(F.min_by("channel", F.struct((-F.col("score")).alias("s"), "channel")).alias("channel"))
@@ -238,6 +248,35 @@ def qnet_score(df: DataFrame, artifact: dict, obs: str = "obs") -> DataFrame:
     return df.withColumn("q", run(F.col(obs)))
 
 
+HOLD = "__hold"
+
+
+def arm_scores(candidates: DataFrame, values: DataFrame, artifact: dict, by: list[str]) -> DataFrame:
+    """Candidates (``by``, actionId, channel, eligible, hardCompleted) with score, and a row for holding back.
+
+    ``values``: ``by`` and q, one value for each arm and the last for holding. A candidate has its own arm's value; one that the network does not
+    know takes the first arm of its channel; ineligible and completed ones, and channels without any arm, are masked out. Members
+    without values score 0 and cannot hold. Arms are what people author; a member's values stay one array.
+    """
+    arms = artifact["arms"]
+    own = {(a["actionId"], a["channel"]): i for i, a in reversed(list(enumerate(arms)))}
+    first = {a["channel"]: i for i, a in reversed(list(enumerate(arms)))}
+    spark = candidates.sparkSession
+    known = F.broadcast(spark.createDataFrame([(*k, i) for k, i in own.items()], "actionId string, channel string, _own int"))
+    fallback = F.broadcast(spark.createDataFrame(list(first.items()), "channel string, _first int"))
+    open_ = candidates.where("eligible and not hardCompleted").join(fallback, "channel").join(known, ["actionId", "channel"], "left").join(values.select(*by, "q"), by, "left")
+    scored = open_.withColumn("score", F.coalesce(F.get("q", F.coalesce("_own", "_first")), F.lit(0.0)))
+    hold = open_.where("q is not null").groupBy(*by).agg(F.any_value("q").alias("q"))
+    held = hold.select(*by, F.lit(HOLD).alias("actionId"), F.lit("hold").alias("channel"), F.get("q", F.lit(artifact["noop_index"])).alias("score"))
+    return scored.select(*by, "actionId", "channel", "score").unionByName(held)
+
+
+def chosen_arm(scored: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, actionId, channel, score of the best arm: higher scores first, then smaller names; a null score is never the best of others."""
+    best = F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("s"), "actionId", "channel", "score")
+    return scored.groupBy(*by).agg(F.min(best).alias("b")).select(*by, "b.actionId", "b.channel", "b.score")
+
+
 def bootstrap_weight(key: Column, model: int) -> Column:
     """A Poisson(1) weight by inverse transform of a stable number: bootstrap resampling without drawing."""
     u = stable01(key, F.lit(f"boot{model}"))
@@ -284,6 +323,16 @@ def promotion_gate(metrics: DataFrame, margin: float) -> DataFrame:
     return pivoted.select(F.coalesce(gain >= margin, F.lit(False)).alias("promote"), why.alias("why"), gain.alias("gain"))
 
 
+def clone_gate(readout: DataFrame, share: float = 0.75, floor: float = 0.12) -> DataFrame:
+    """One row, promote, bar: a policy (agreement) must repeat the logged actions nearly as well as a clone of them can (cloneAgreement).
+
+    The bar is ``share`` of the clone's agreement; both must also reach ``floor``, for what a clone cannot learn nobody can judge.
+    """
+    bar = share * F.col("cloneAgreement")
+    passed = (F.col("cloneAgreement") >= floor) & (F.col("agreement") >= bar) & (F.col("agreement") >= floor)
+    return readout.select(F.coalesce(passed, F.lit(False)).alias("promote"), bar.alias("bar"), "agreement", "cloneAgreement")
+
+
 def down_sample(df: DataFrame, key: Column, share: float) -> DataFrame:
     """A stable sample of about ``share`` of the rows, by a hash of ``key``."""
     return df.where(stable01(key) < share)

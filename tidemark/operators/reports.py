@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import DAY_MS, day_floor
+from tidemark.operators.selection import group_percentiles
 
 HOUR_MS = 3_600_000
 
@@ -72,13 +73,15 @@ def system_stats(members: DataFrame, candidates: DataFrame, sends: DataFrame) ->
 
 
 def action_stats(routed: DataFrame) -> DataFrame:
-    return routed.groupBy("actionId").agg(distinct_where("entityId", F.col("op") == "CREATE").alias("created"), distinct_where("entityId", F.col("op") == "SUPPRESS").alias("suppressed"))
+    """actionId, created, suppressed (distinct members of each decision) and avgScore of the decisions, to 3 places; null where none has a score."""
+    distinct = [distinct_where("entityId", F.col("op") == op).alias(name) for op, name in (("CREATE", "created"), ("SUPPRESS", "suppressed"))]
+    return routed.groupBy("actionId").agg(*distinct, F.round(F.avg("score"), 3).alias("avgScore"))
 
 
 def fact_library(facts: DataFrame, samples: int = 8) -> DataFrame:
     """key, types, cardinality, n and the first sorted sample values of each fact that is not internal.
 
-    Samples are the least of the values' first hash buckets: a bounded state for each key, not a set of all its values.
+    Values are counted first; of a key's distinct values only the first ``samples`` pass the ranking, which Spark cuts off before it shuffles.
     """
     own = facts.where(~F.col("key").startswith("nba."))
     per_value = own.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.min("valueType").alias("valueType"))
@@ -213,7 +216,7 @@ def dlq_stats(dlq: DataFrame) -> DataFrame:
 def stage_metrics(hops: DataFrame, ts: str, width_ms: int, quorum: int = 3) -> DataFrame:
     """windowStart, events, perSecond, p50, avg, p95 of latency, null below the quorum."""
     start = (F.col(ts) - F.pmod(F.col(ts), F.lit(width_ms))).alias("windowStart")
-    grouped = hops.groupBy(start).agg(F.count(F.lit(1)).alias("events"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency)").cast("long").alias("p50"), F.avg("latency").alias("mean"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency)").cast("long").alias("p95"))
+    grouped = group_percentiles(hops, [start], "latency", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("n", "events")
     enough = F.col("events") >= quorum
     return grouped.select("windowStart", "events", (F.col("events") * 1000 / width_ms).alias("perSecond"), *(F.when(enough, F.col(c)).alias(c) for c in ("p50", "mean", "p95")))
 

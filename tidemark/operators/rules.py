@@ -174,22 +174,25 @@ def select_batch(candidates: DataFrame, by: list[str], max_batch: dict[str, int]
     return chosen.where(F.col("place") <= F.greatest(limit, F.lit(1))).drop("winning")
 
 
-def route(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, op, actionId, channel: what the router does for each evaluation.
+def route(candidates: DataFrame, by: list[str], suppressed: DataFrame | None = None, max_batch: dict[str, int] | None = None) -> DataFrame:
+    """``by``, op, actionId, channel, actions: what the router does for each evaluation.
 
     HARD_COMPLETE or else SOFT_COMPLETE for completed contacts; SUPPRESS for unsent ones no longer eligible and for an unsent
-    occupant that a candidate outscores; CREATE for the candidate where the slot is free.
+    occupant that a candidate outscores; CREATE for the candidate where the slot is free, or CREATE_BATCH with the best ``actions``
+    on its channel where ``max_batch`` lets several go out there. What operators suppressed (``suppressed``: actionId, channel or null
+    for all) is neither completed nor takes or keeps a slot, but an unsent one that is no longer eligible is still called off.
     """
-    own = candidates.select(*by, *SLUG, F.explode(F.array_compact(F.array(
-        F.when(F.col("hardCompleted"), "HARD_COMPLETE").when(F.col("softCompleted"), "SOFT_COMPLETE"),
-        F.when(~F.col("eligible") & F.col("cancellable"), "SUPPRESS"),
-    ))).alias("op"))
-    slots = arbitrate_slot(candidates, by)
+    open_ = candidates if suppressed is None else strip_suppressed(candidates, suppressed)
+    none = F.lit(None).cast("array<string>").alias("actions")
+    done = open_.withColumn("op", F.when(F.col("hardCompleted"), "HARD_COMPLETE").when(F.col("softCompleted"), "SOFT_COMPLETE")).where("op is not null")
+    fallen = candidates.where(~F.col("eligible") & F.col("cancellable")).withColumn("op", F.lit("SUPPRESS"))
     outscored = F.col("candidate").isNotNull() & F.col("occupant.cancellable") & (F.col("candidate.score") > F.coalesce("occupant.score", F.lit(float("-inf"))))
-    act = F.when(F.col("occupant").isNotNull(), F.when(outscored, F.struct(F.lit("SUPPRESS").alias("op"), "occupant.actionId", "occupant.channel")))
-    act = act.when(F.col("candidate").isNotNull(), F.struct(F.lit("CREATE").alias("op"), "candidate.actionId", "candidate.channel"))
-    moved = slots.select(*by, act.alias("a")).where("a is not null").select(*by, "a.actionId", "a.channel", "a.op")
-    return own.unionByName(moved).select(*by, "op", *SLUG)
+    replaced = arbitrate_slot(open_, by).where(outscored).select(*by, "occupant.actionId", "occupant.channel", F.lit("SUPPRESS").alias("op"))
+    batch = select_batch(open_, by, max_batch or {}).groupBy(*by, "channel").agg(F.array_sort(F.collect_list(F.struct("place", "actionId"))).alias("b"))
+    many = F.size("b") > 1
+    created = batch.select(*by, F.when(many, "CREATE_BATCH").otherwise("CREATE").alias("op"), F.when(~many, F.get("b.actionId", F.lit(0))).alias("actionId"), "channel", F.when(many, F.col("b.actionId")).alias("actions"))
+    single = reduce(DataFrame.unionByName, [df.select(*by, "op", *SLUG, none) for df in (done, fallen, replaced)])
+    return single.unionByName(created)
 
 
 def evaluation_signatures(candidates: DataFrame, by: list[str]) -> DataFrame:

@@ -33,9 +33,29 @@ def decide(requests: DataFrame, gold: DataFrame, defs: dict, scorer: Scorer, n:
     return rank_serve(scored, ["entityId"], n).drop("hardCompleted")
 
 
-def rescore_all(members: DataFrame, defs: dict, scorer: Scorer) -> DataFrame:
-    """Fresh eligibility and scores of everyone. ``members``: entityId, facts."""
-    return scorer(rules.eligible_hits(members, defs))
+def member_profile(members: DataFrame, drives: dict[str, str]) -> DataFrame:
+    """What the compliance gate asks of a member, from its facts: isDNC, smsConsent, contactsThisWeek, achieved.
+
+    ``drives``: the fact that an action brings about; an action whose fact the member has is achieved. Missing facts are false or 0.
+    """
+    facts = F.col("facts")
+
+    def truth(key: str) -> Column:
+        return coerce(F.try_element_at(facts, F.lit(key)), "bool") >= 1
+
+    achieved = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(truth(fact), F.lit(a)) for a, fact in drives.items()]))
+    week = coerce(F.try_element_at(facts, F.lit("operator.comms.totalThisWeek")), "num")
+    return members.select("entityId", truth("operator.profile.isDNC").alias("isDNC"), truth("operator.profile.smsConsent").alias("smsConsent"), week.alias("contactsThisWeek"), achieved.alias("achieved"))
+
+
+def rescore_all(members: DataFrame, defs: dict, scorer: Scorer, weekly_cap: int = 3, drives: dict[str, str] | None = None) -> DataFrame:
+    """Fresh eligibility and scores of everyone who may be contacted. ``members``: entityId, facts.
+
+    Inclusion is evaluated anew from the facts, then the compliance gate leaves out members on the list or at the weekly cap, sms without
+    consent, and actions that the member has achieved.
+    """
+    hits = rules.eligible_hits(members, defs)
+    return scorer(rules.compliance_gate(hits, member_profile(members, drives or {}), weekly_cap))
 
 
 def log_predictions(scored: DataFrame, temperature: float, scored_ms: int) -> DataFrame:

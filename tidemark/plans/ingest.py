@@ -192,9 +192,25 @@ def p19_action_fact_map(spark, sf_dir):
     return edges.join(T.facts_events(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").select("actionId", "key", "n")
 
 
-@query(T.oracle("touches", "SELECT actionId, channel, row_number() OVER (ORDER BY actionId, channel) - 1 AS arm FROM (SELECT DISTINCT actionId, channel FROM touches)"))
+def _catalogue(spark, sf_dir):
+    """The same actions with gates of one or two levels that ask for 0 to 8 completed tasks, a completion fact, and a few left over from tests."""
+    t = T.touches(spark, sf_dir).groupBy("actionId").agg(F.array_sort(F.collect_set("channel")).alias("channels"), F.max("ts").alias("updatedTs"))
+    n = F.substring_index("actionId", "_", -1).cast("int")
+    leaf = lambda fact, value: F.struct(F.lit("gte").alias("cmp"), value.alias("value"), fact.alias("fact"))
+    tasks, login = leaf(F.lit("operator.activity.completedTasks"), n % 9), leaf(F.lit("operator.activity.daysSinceLogin"), F.lit(1))
+    inner = F.struct(F.lit("any").alias("op"), F.when(n % 4 > 0, F.array(tasks, login)).otherwise(F.array(login)).alias("conditions"))
+    gate = F.to_json(F.struct(F.lit("all").alias("op"), F.array(inner).alias("conditions")))
+    goal = F.to_json(F.array(leaf(F.concat(F.lit("operator.activity.goal"), n.cast("string")), F.lit(1)), login))
+    channels = F.transform("channels", lambda c: F.struct(F.when(c != "voice", c).alias("channel"), F.concat(F.when(n == 5, "vtest-").otherwise("tmpl-"), c).alias("contentKey")))
+    name = F.when(n == 8, "VariantTest").otherwise(F.concat(F.lit("Action "), n.cast("string")))
+    text = F.format_string('{"id":"%s","name":"%s","channels":%s,"inclusion":%s,"logic":%s}', "actionId", name, F.to_json(channels), gate, goal)
+    return t.select(F.concat(F.lit("ACTION:"), "actionId").alias("key"), text.alias("value"), "updatedTs")
+
+
+@query(T.oracle("touches", """a AS (SELECT DISTINCT actionId, channel, substr(actionId, 8)::INT AS n FROM touches), k AS (SELECT * FROM a WHERE n NOT IN (5, 8) AND channel <> 'voice')
+    SELECT actionId, channel, 'Action ' || n AS name, CASE WHEN n % 4 = 0 THEN 'activated' WHEN n % 9 >= 6 THEN 'upgraded' WHEN n % 9 >= 3 THEN 'engaged' ELSE 'onboarded' END AS "group", 'goal' || n AS drives, row_number() OVER (ORDER BY actionId, channel) - 1 AS arm FROM k"""))
 def p20_arms(spark, sf_dir):
-    return ingest.load_arms(ingest.parse_definition(_definitions(spark, sf_dir)))
+    return ingest.load_arms(ingest.parse_definition(_catalogue(spark, sf_dir)))
 
 
 @query(T.oracle("touches", "SELECT touchId, CASE WHEN touchId % 4 <> 0 THEN entityId END AS nbaId, CASE WHEN touchId % 4 <> 0 THEN actionId END AS actionId, CASE WHEN touchId % 4 <> 0 THEN channel END AS channel FROM touches"))

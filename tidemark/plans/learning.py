@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import softmax
+from tidemark.functions.scalars import softmax, stable01
 from tidemark.operators import learning
-from tidemark.operators.ingest import pivot_features
+from tidemark.operators.ingest import CHANNELS, member_fact_map, pivot_features
 from tidemark.plans import rules as rules_plan
 from tidemark.plans.ingest import FEATURES
 from tidemark.plans.register import Register
@@ -43,8 +43,6 @@ def a23_snips(spark, sf_dir):
 @query(T.oracle("sends", EXAMPLES + """, c AS (SELECT *, (('0x' || substr(md5(correlationId), 1, 8))::BIGINT / 4294967295::DOUBLE) AS score FROM x), m AS (SELECT quantile_disc(score, 0.5) AS middle FROM c),
     w AS (SELECT *, 1 / least(greatest(propensity, 0.05), 1.0) AS w FROM c, m WHERE score >= middle) SELECT round(sum(w * label) / sum(w), 9) AS value, count(*) AS n FROM w"""))
 def a23_snips_challenger(spark, sf_dir):
-    from tidemark.functions.scalars import stable01
-
     return learning.snips(examples(spark, sf_dir).withColumn("score", stable01(F.col("correlationId"))), "score").withColumn("value", F.round("value", 9))
 
 
@@ -53,10 +51,12 @@ def a24_anneal_temperature(spark, sf_dir):
     return examples(spark, sf_dir).groupBy("actionId").agg(F.count(F.lit(1)).alias("n")).withColumn("temperature", F.round(learning.anneal_temperature(F.col("n")), 9))
 
 
-@query(T.oracle("sends", EXAMPLES + """, c AS (SELECT label, substr(correlationId, 3)::BIGINT % 50 + 20 * label AS score FROM x), p AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM c GROUP BY ALL),
+@query(T.oracle("sends", EXAMPLES + """, c AS (SELECT label, (('0x' || substr(md5('model|' || correlationId), 1, 8))::BIGINT / 4294967295::DOUBLE) * 0.5 + (decisionTs // 86400000 % 7) / 14.0::DOUBLE AS score FROM x), p AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM c GROUP BY ALL),
     b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM p) SELECT round((sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)))::DOUBLE, 9) AS auc, (SELECT round(corr(score, label), 9) FROM c) AS corr FROM b"""))
 def a27_model_quality(spark, sf_dir):
-    x = examples(spark, sf_dir).withColumn("score", F.substring("correlationId", 3, 20).cast("long") % 50 + 20 * F.col("label"))
+    """Of a score that knows nothing of the label: a stable number and the day of the week."""
+    score = stable01(F.lit("model"), F.col("correlationId")) * 0.5 + F.expr("decisionTs div 86400000 % 7") / F.lit(14.0)
+    x = examples(spark, sf_dir).withColumn("score", score)
     return learning.auc(x, "score", "label").crossJoin(x.agg(F.round(F.corr("score", "label"), 9).alias("corr"))).withColumn("auc", F.round("auc", 9))
 
 
@@ -115,10 +115,15 @@ def a28_obs_stats(spark, sf_dir):
     return out.select("dim", F.round("mean", 9).alias("mean"), F.round("std", 7).alias("std"))
 
 
-@query(T.oracle("touches", POINTS + f" SELECT avg((touchId % 3 = arm)::INT) AS agreement, avg(({NEXT} > 60)::INT) AS reach, count(*) AS n FROM p"))
+@query(T.oracle("touches", POINTS + f""", c AS (SELECT *, first_value(CASE WHEN touchId % 6 = 2 THEN channel END IGNORE NULLS) OVER (PARTITION BY entityId ORDER BY ts, touchId ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS engaged FROM p)
+    SELECT avg((touchId % 3 = arm)::INT) AS agreement, avg(({NEXT} > 60)::INT) AS reach, count(*) AS n, avg((['email', 'sms', 'push', 'voice', 'mail'][touchId % 5 + 1] = engaged)::INT) AS routed, count(engaged) AS credited FROM c"""))
 def a29_policy_readout(spark, sf_dir):
+    """Agreement, reach, and how often the policy's channel is the one on which the journey's next engagement comes."""
     t = learning.transitions(_points(spark, sf_dir), "entityId", "ts", 1, ["touchId"]).withColumn("policy", (F.col("touchId") % 3).cast("int"))
-    return learning.policy_readout(t, "policy", 1)
+    channels = F.array(*map(F.lit, CHANNELS))
+    points = T.touches(spark, sf_dir).withColumn("engaged", F.when(F.col("touchId") % 6 == 2, F.col("channel"))).withColumn("policyChannel", F.get(channels, (F.col("touchId") % 5).cast("int")))
+    routed = learning.routes_to_engaged(points, "entityId", "ts", ["touchId"], "policyChannel", "engaged")
+    return learning.policy_readout(t, "policy", 1).crossJoin(routed)  # one row each
 
 
 @query(T.oracle("candidates", "b AS (SELECT entityId, evaluatedAt, arg_min(channel, (-score, channel)) AS channel FROM candidates WHERE eligible AND score IS NOT NULL GROUP BY ALL) SELECT channel, count(*) AS members, count(*) / sum(count(*)) OVER () AS share FROM b GROUP BY channel"))
@@ -217,6 +222,33 @@ def m7_qnet_score(spark, sf_dir):
     return scored.select("entityId", F.round(F.get("q", F.lit(0)), 10).alias("hold"), F.round(F.get("q", F.lit(1)), 10).alias("email"))
 
 
+ARMS = {"arms": [{"actionId": "action_1", "channel": "email"}, {"actionId": "action_2", "channel": "email"}, {"actionId": "action_1", "channel": "sms"}, {"actionId": "action_3", "channel": "push"}], "noop_index": 4}
+
+
+@query(T.oracle("candidates", """o AS (SELECT *, substr(entityId, 4)::BIGINT AS k FROM candidates WHERE eligible AND NOT hardCompleted AND channel IN ('email', 'sms', 'push')),
+    a AS (SELECT entityId, evaluatedAt, actionId, channel, k, CASE WHEN channel = 'email' AND actionId = 'action_2' THEN 1 WHEN channel = 'email' THEN 0 WHEN channel = 'sms' THEN 2 ELSE 3 END AS arm FROM o),
+    s AS (SELECT entityId, evaluatedAt, actionId, channel, CASE WHEN k % 10 = 0 THEN 0 ELSE ((k * (arm + 3)) % 17) / 16.0::DOUBLE END AS score FROM a UNION ALL SELECT DISTINCT entityId, evaluatedAt, '__hold', 'hold', ((k * 7) % 17) / 16.0::DOUBLE FROM o WHERE k % 10 <> 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY entityId, evaluatedAt ORDER BY score DESC, actionId, channel) AS place FROM s) SELECT entityId, evaluatedAt, actionId, channel, score FROM r WHERE place = 1"""))
+def m7_arm_lookup(spark, sf_dir):
+    """The chosen arm of each evaluation: own arm, first arm of the channel, or holding; every tenth member has no values."""
+    c = T.candidates(spark, sf_dir)
+    k = F.substring("entityId", 4, 20).cast("long")
+    q = F.array(*[(k * (i + 3) % 17) / F.lit(16.0) for i in range(5)])
+    values = c.where(k % 10 != 0).select(*BY).distinct().withColumn("q", q)
+    return learning.chosen_arm(learning.arm_scores(c, values, ARMS, BY), BY)
+
+
+@query(T.oracle("touches", POINTS + """, m AS (SELECT entityId, touchId, arm, touchId % 3 AS policy, mode(arm) OVER (PARTITION BY n > 8) AS cloned FROM p), a AS (SELECT avg((policy = arm)::INT) AS agreement, avg((cloned = arm)::INT) AS "cloneAgreement" FROM m)
+    SELECT "cloneAgreement" >= 0.12 AND agreement >= 0.75 * "cloneAgreement" AND agreement >= 0.12 AS promote, round(0.75 * "cloneAgreement", 9) AS bar, agreement, "cloneAgreement" FROM a""".replace("mode(arm) OVER (PARTITION BY n > 8)", "CASE WHEN n > 8 THEN -1 ELSE 0 END")))
+def m14_clone_gate(spark, sf_dir):
+    """Whether a policy repeats the logged arms nearly as well as a clone that knows only whether a journey is long."""
+    p = _points(spark, sf_dir)
+    cloned = F.when(F.get("obs", F.lit(3)) >= 1, -1).otherwise(0)
+    same = lambda c: F.avg((c == F.col("arm")).cast("int"))
+    readout = p.agg(same(F.col("touchId") % 3).alias("agreement"), same(cloned).alias("cloneAgreement"))
+    return learning.clone_gate(readout).withColumn("bar", F.round("bar", 9))
+
+
 @query(T.oracle("sends", EXAMPLES + """, v AS (SELECT channel IN ('email', 'sms') AS champ, sum(label / greatest(propensity, 0.05)) / sum(1 / greatest(propensity, 0.05)) AS value FROM x GROUP BY ALL)
     SELECT (SELECT value FROM v WHERE NOT champ) - (SELECT value FROM v WHERE champ) >= 0.01 AS promote, 'snips' AS why, round((SELECT value FROM v WHERE NOT champ) - (SELECT value FROM v WHERE champ), 9) AS gain"""))
 def m14_promotion_gate(spark, sf_dir):
@@ -285,7 +317,6 @@ def p32_build_obs(spark, sf_dir):
     s AS (SELECT *, (('0x' || substr(md5(entityId || '|' || actionId || '|' || channel), 1, 8))::BIGINT / 4294967295::DOUBLE) AS score FROM h)
     SELECT entityId, actionId, channel, place FROM (SELECT *, row_number() OVER (PARTITION BY entityId ORDER BY score DESC, actionId, channel) AS place FROM s) WHERE place <= 2"""))
 def m15_m16_decide(spark, sf_dir):
-    from tidemark.functions.scalars import stable01
     from tidemark.operators.serving import decide
 
     gold = T.facts_events(spark, sf_dir).unionByName(T.facts_profile(spark, sf_dir))
@@ -295,6 +326,23 @@ def m15_m16_decide(spark, sf_dir):
     return decide(request, gold, rules_plan.DEFS, scorer, 2).select("entityId", "actionId", "channel", "place")
 
 
+@query(T.oracle("facts_events facts_profile fact_history", rules_plan.MEMBERS + f""", w AS (SELECT entityId, count(*) AS n FROM (SELECT DISTINCT entityId, key, eventTs FROM fact_history WHERE key LIKE 'nba.actionstate.%' AND value = 'IN_PROCESS' AND eventTs > {T.NOW_MS - 7 * DAY} AND eventTs <= {T.NOW_MS}) GROUP BY entityId),
+    x AS (SELECT g.* FROM g LEFT JOIN w USING (entityId) WHERE NOT dnc AND coalesce(n, 0) < 4),
+    h AS (SELECT entityId, 'action_1' AS actionId, 'email' AS channel FROM x WHERE purchase > 10 UNION ALL SELECT entityId, 'action_1', 'sms' FROM x WHERE purchase > 10 AND consent
+        UNION ALL SELECT entityId, 'action_2', 'sms' FROM x WHERE browsing AND errors <= 8 AND consent AND NOT bought UNION ALL SELECT entityId, 'action_2', 'push' FROM x WHERE browsing AND errors <= 8 AND NOT bought UNION ALL SELECT entityId, 'action_3', 'mail' FROM x)
+    SELECT entityId, actionId, channel, (('0x' || substr(md5(entityId || '|' || actionId || '|' || channel), 1, 8))::BIGINT / 4294967295::DOUBLE) AS score FROM h""".replace("SELECT g.* FROM g", "SELECT g.*, purchase >= 1 AS bought FROM g")))
+def m16_rescore_all(spark, sf_dir):
+    """Everyone who may be contacted: list, weekly cap, consent, and an action that a purchase achieves."""
+    from tidemark.operators.reports import comms_counts
+    from tidemark.operators.serving import rescore_all
+
+    states = T.fact_history(spark, sf_dir).where("key like 'nba.actionstate.%'").withColumn("channel", F.split_part("key", F.lit("."), F.lit(4))).withColumn("actionId", F.split_part("key", F.lit("."), F.lit(3)))
+    week = comms_counts(states, T.NOW_MS, 7 * DAY, "IN_PROCESS").where("key = 'operator.comms.totalThisWeek'").select("entityId", "key", F.col("n").cast("string").alias("value"), F.lit(T.NOW_MS).alias("eventTs"))
+    facts = T.facts_events(spark, sf_dir).unionByName(T.facts_profile(spark, sf_dir)).select("entityId", "key", "value", "eventTs").unionByName(week)
+    scorer = lambda df: df.withColumn("score", stable01(F.col("entityId"), F.col("actionId"), F.col("channel")))
+    return rescore_all(member_fact_map(facts), rules_plan.DEFS, scorer, 4, {"action_2": "operator.activity.purchase"}).select("entityId", "actionId", "channel", "score")
+
+
 @query(T.oracle("candidates", "SELECT entityId AS nbaId, actionId, channel, correlationId, score AS base_score, score + 0.5 AS emit_score, 0.25::DOUBLE AS propensity, 0.3::DOUBLE AS temperature, evaluatedAt FROM candidates WHERE eligible"))
 def m13_log_predictions(spark, sf_dir):
     from tidemark.operators.serving import log_predictions

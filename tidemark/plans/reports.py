@@ -48,10 +48,11 @@ def a5_system_stats(spark, sf_dir):
     return reports.system_stats(T.facts_profile(spark, sf_dir), T.candidates(spark, sf_dir), T.sends(spark, sf_dir))
 
 
-@query(T.oracle("sends", "SELECT actionId, count(DISTINCT entityId) FILTER (status <> 'P') AS created, count(DISTINCT entityId) FILTER (status = 'P') AS suppressed FROM sends GROUP BY actionId"))
+@query(T.oracle("sends", "SELECT actionId, count(DISTINCT entityId) FILTER (status <> 'P') AS created, count(DISTINCT entityId) FILTER (status = 'P') AS suppressed, round(avg(substr(correlationId, 3)::BIGINT % 8 / 8.0::DOUBLE), 3) AS avgScore FROM sends GROUP BY actionId"))
 def a6_action_stats(spark, sf_dir):
     op = F.when(F.col("status") == "P", "SUPPRESS").otherwise("CREATE")
-    return reports.action_stats(T.sends(spark, sf_dir).withColumn("op", op))
+    score = F.substring("correlationId", 3, 20).cast("long") % 8 / F.lit(8.0)
+    return reports.action_stats(T.sends(spark, sf_dir).withColumns({"op": op, "score": score}))
 
 
 @query(T.oracle("facts_profile facts_events", """v AS (SELECT key, value, count(*) AS n, min(valueType) AS valueType FROM (SELECT * FROM facts_profile UNION ALL SELECT * FROM facts_events) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY value) AS place FROM v)

@@ -158,12 +158,23 @@ def w9_k2_select_batch(spark, sf_dir):
     return rules.select_batch(T.candidates(spark, sf_dir), BY, MAX_BATCH).select(*BY, "actionId", "channel", "place")
 
 
-@query(T.oracle("candidates", BEST + """ SELECT entityId, evaluatedAt, CASE WHEN hardCompleted THEN 'HARD_COMPLETE' ELSE 'SOFT_COMPLETE' END AS op, actionId, channel FROM candidates WHERE hardCompleted OR softCompleted
-    UNION ALL SELECT entityId, evaluatedAt, 'SUPPRESS', actionId, channel FROM candidates WHERE NOT eligible AND cancellable
-    UNION ALL SELECT entityId, evaluatedAt, 'SUPPRESS', split_part(occ, '::', 1), split_part(occ, '::', 2) FROM best WHERE occ IS NOT NULL AND occOpen AND candScore > occScore
-    UNION ALL SELECT entityId, evaluatedAt, 'CREATE', split_part(cand, '::', 1), split_part(cand, '::', 2) FROM best WHERE occ IS NULL AND cand IS NOT NULL"""))
+@query(T.oracle("candidates", "open AS (SELECT * FROM candidates WHERE actionId <> 'action_4' AND NOT (actionId = 'action_7' AND channel = 'email')), " + BEST.replace("FROM candidates", "FROM open") + """,
+    batch AS (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY o.entityId, o.evaluatedAt ORDER BY score DESC, actionId) AS place FROM open o JOIN best b ON b.entityId = o.entityId AND b.evaluatedAt = o.evaluatedAt AND b.occ IS NULL AND split_part(b.cand, '::', 2) = o.channel
+        WHERE eligible AND NOT active AND NOT hardCompleted AND score IS NOT NULL) WHERE place <= CASE channel WHEN 'email' THEN 2 WHEN 'push' THEN 3 ELSE 1 END),
+    made AS (SELECT entityId, evaluatedAt, channel, list(actionId ORDER BY place) AS l FROM batch GROUP BY ALL)
+    SELECT entityId, evaluatedAt, CASE WHEN hardCompleted THEN 'HARD_COMPLETE' ELSE 'SOFT_COMPLETE' END AS op, actionId, channel, NULL AS actions FROM open WHERE hardCompleted OR softCompleted
+    UNION ALL SELECT entityId, evaluatedAt, 'SUPPRESS', actionId, channel, NULL FROM candidates WHERE NOT eligible AND cancellable
+    UNION ALL SELECT entityId, evaluatedAt, 'SUPPRESS', split_part(occ, '::', 1), split_part(occ, '::', 2), NULL FROM best WHERE occ IS NOT NULL AND occOpen AND candScore > occScore
+    UNION ALL SELECT entityId, evaluatedAt, CASE WHEN len(l) > 1 THEN 'CREATE_BATCH' ELSE 'CREATE' END, CASE WHEN len(l) = 1 THEN l[1] END, channel, CASE WHEN len(l) > 1 THEN array_to_string(l, ',') END FROM made"""))
 def t4_route(spark, sf_dir):
-    return rules.route(T.candidates(spark, sf_dir), BY)
+    """All evaluations, with one action suppressed everywhere and one by email, and batches by email and push."""
+    routed = rules.route(T.candidates(spark, sf_dir), BY, suppressed_actions(spark), MAX_BATCH)
+    return routed.withColumn("actions", F.array_join("actions", ","))
+
+
+def suppressed_actions(spark):
+    """What operators suppressed: a setting that people make, not data."""
+    return spark.createDataFrame([("action_4", None), ("action_7", "email")], "actionId string, channel string")
 
 
 @query(T.oracle("candidates", """e AS (SELECT entityId, evaluatedAt, list_sort(list(actionId || '::' || channel || '::' || contentKey) FILTER (eligible)) AS sig,
