@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,10 +44,6 @@ def run_to_fixed_point(spark: SparkSession, live: topics.Topic, step: Callable[[
 EVENT = "entityId string, kind string, step int, ts long, headers array<struct<key string, value string>>"
 
 
-def _header(**values: str) -> list[dict[str, str]]:
-    return [{"key": k, "value": v} for k, v in values.items()]
-
-
 class MilestoneChain(StatefulProcessor):
     """Keyed by member: completions, milestones that were emitted, and those that have come back as input.
 
@@ -61,17 +56,17 @@ class MilestoneChain(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         out = []
-        for e in pd.concat(list(rows)).sort_values(["ts", "kind", "step"]).itertuples(index=False):
+        for e in sorted(rows, key=lambda e: (e.ts, e.kind, e.step)):
             known = self.done if e.kind == "completion" else self.back
-            if not known.containsKey((int(e.step),)):
-                known.updateValue((int(e.step),), (int(e.ts),))
-            k = int(e.step) + (e.kind == "milestone")
+            if not known.containsKey((e.step,)):
+                known.updateValue((e.step,), (e.ts,))
+            k = e.step + (e.kind == "milestone")
             ready = self.done.containsKey((k,)) and (k == 0 or self.back.containsKey((k - 1,))) and not self.emitted.containsKey((k,))
             if ready:
                 at = max(self.done.getValue((k,))[0], self.back.getValue((k - 1,))[0] if k else 0)
                 self.emitted.updateValue((k,), (at,))
-                out += [(key[0], "milestone", k, at, _header(type="eligibility")), (key[0], "score", k, at, _header(type="score"))]
-        yield pd.DataFrame(out, columns=["entityId", "kind", "step", "ts", "headers"])
+                out += [Row(entityId=key[0], kind=kind, step=k, ts=at, headers=[Row(key="type", value=why)]) for kind, why in (("milestone", "eligibility"), ("score", "score"))]
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -80,4 +75,4 @@ class MilestoneChain(StatefulProcessor):
 def milestone_chain(events: DataFrame) -> DataFrame:
     """The milestones and scores (``EVENT``) that completions and milestones of a stream bring about; incomplete and other events do not count."""
     whole = events.where("kind IN ('completion', 'milestone') AND entityId IS NOT NULL AND step IS NOT NULL AND ts IS NOT NULL")
-    return whole.select("entityId", "kind", "step", "ts").groupBy("entityId").transformWithStateInPandas(MilestoneChain(), EVENT, "append", "None")
+    return whole.select("entityId", "kind", "step", "ts").groupBy("entityId").transformWithState(MilestoneChain(), EVENT, "append", "None")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -86,11 +86,9 @@ EVENT = ["actionId", "channel", "ts", "kind", "state", "score", "correlationId"]
 VERDICT = "actionId string, channel string, ts long, verdict string, correlationId string"
 
 
-def _events(pdf: pd.DataFrame) -> Iterator[tuple]:
-    """(slug, ts, kind, state, score, correlationId) in order of time."""
-    own = pdf.sort_values(["ts", "seq"], kind="stable")[EVENT].astype(object)
-    for action, channel, ts, kind, state, score, correlation in own.where(own.notna(), None).itertuples(index=False):
-        yield (action or "", channel or ""), int(ts), kind, state, score, correlation
+def _event(e: Row) -> tuple:
+    """(slug, ts, kind, state, score, correlationId)."""
+    return (e.actionId or "", e.channel or ""), e.ts, e.kind, e.state, e.score, e.correlationId
 
 
 def _keys(df: DataFrame, by: list[str]) -> str:
@@ -101,7 +99,7 @@ class SiblingDebounce(StatefulProcessor):
     """Keyed by member: what is known of each of its contacts, and a timer for each debounce."""
 
     def __init__(self, by: list[str], cfg: Config):
-        self.by, self.cfg = by, cfg
+        self.by, self.cfg, self.row = by, cfg, Row(*by, *VERDICT.replace(",", "").split()[::2])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -119,23 +117,20 @@ class SiblingDebounce(StatefulProcessor):
         for at in {s.deadline for s in now.values() if s.state == "CREATED"} - {s.deadline for s in before.values() if s.state == "CREATED"}:
             self.handle.registerTimer(at)
 
-    def _rows(self, key: tuple, out: list[Verdict]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *o) for o in out], columns=[*self.by, *VERDICT.replace(",", "").split()[::2]])
-
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         before = self._load()
         now, out = dict(before), []
-        for event in _events(pd.concat(list(rows))):
-            out += step(now, *event, self.cfg)
+        for e in sorted(rows, key=lambda e: (e.ts, e.seq or 0)):
+            out += step(now, *_event(e), self.cfg)
         self._save(before, now)
-        yield self._rows(key, out)
+        return iter([self.row(*key, *o) for o in out])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         before = self._load()
         now = dict(before)
         out = due(now, expiredTimerInfo.getExpiryTimeInMs(), self.cfg)
         self._save(before, now)
-        yield self._rows(key, out)
+        return iter([self.row(*key, *o) for o in out])
 
     def close(self) -> None:
         pass
@@ -148,7 +143,7 @@ def stream_siblings(events: DataFrame, by: list[str], cfg: Config = Config()) ->
     only moves time. A member's events have to come in order of time, as in a keyed topic.
     """
     named = events.select(*by, *EVENT, "seq", "at")
-    return named.groupBy(*by).transformWithStateInPandas(SiblingDebounce(by, cfg), f"{_keys(events, by)}, {VERDICT}", "append", "EventTime")
+    return named.groupBy(*by).transformWithState(SiblingDebounce(by, cfg), f"{_keys(events, by)}, {VERDICT}", "append", "EventTime")
 
 
 def replay_siblings(events: DataFrame, by: list[str], until_ms: int, cfg: Config = Config()) -> DataFrame:  # noqa: B008
