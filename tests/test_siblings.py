@@ -55,7 +55,8 @@ def test_stream_and_replay_equal_a_plain_loop(spark, steps, max_files):
     want = plain(history(steps), 10**6)
     assert sorted(map(tuple, siblings.replay_siblings(events, ["entityId"], 10**6, CFG).collect()), key=repr) == want
     topic = topics.publish(events, "events", ["entityId"], steps=steps, idle_ms=10**6)
-    got = topics.drain(siblings.stream_siblings(topic.stream(spark, max_files), ["entityId"], CFG), "verdicts")
+    with topics.rocksdb(spark):
+        got = topics.drain(siblings.stream_siblings(topic.stream(spark, max_files), ["entityId"], CFG), "verdicts")
     assert sorted(map(tuple, got.collect()), key=repr) == want and {v[4] for v in want} == {"LOSE", "WAIT", "SEND"}
 
 
@@ -63,7 +64,8 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert siblings.replay_siblings(none, ["entityId"], 100, CFG).count() == 0
     topic = topics.publish(none, "none", ["entityId"], idle_ms=100)
-    assert topics.drain(siblings.stream_siblings(topic.stream(spark), ["entityId"], CFG), "none").count() == 0
+    with topics.rocksdb(spark):
+        assert topics.drain(siblings.stream_siblings(topic.stream(spark), ["entityId"], CFG), "none").count() == 0
 
 
 def test_losers_end_the_stream_of_lifecycles(spark):
@@ -71,7 +73,8 @@ def test_losers_end_the_stream_of_lifecycles(spark):
     creates = spark.createDataFrame([("m", "a", "email", 1_000, 0.9, "c1"), ("m", "b", "email", 1_000, 0.5, "c2"), ("n", "b", "email", 1_005, 0.1, "c3")], "entityId string, actionId string, channel string, ts long, score double, correlationId string")
     states = spark.createDataFrame([], "entityId string, actionId string, channel string, ts long, state string")
     topic = topics.publish(siblings.sibling_events(creates, states, ["entityId"]), "contest", ["entityId"], idle_ms=10_000)
-    lost = siblings.debounce_signals(topics.drain(siblings.stream_siblings(topic.stream(spark), ["entityId"], CFG), "lost"))
+    with topics.rocksdb(spark):
+        lost = siblings.debounce_signals(topics.drain(siblings.stream_siblings(topic.stream(spark), ["entityId"], CFG), "lost"))
     events = lifecycle.lifecycle_events(creates.withColumn("op", F.lit("CREATE")), lost.limit(0).withColumn("raw", F.lit("")), lost)
     cfg = lifecycle.Config(debounce_ms=101, ttl_ms=5_000)
     moves = topics.publish(events, f"moves{uuid.uuid4().hex}", lifecycle.KEY, idle_ms=10_000)

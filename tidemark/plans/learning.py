@@ -203,9 +203,15 @@ def m9_explore_score(spark, sf_dir):
     return learning.explore_score(T.candidates(spark, sf_dir), "s1").select(*BY, "actionId", "channel", "explore")
 
 
-@query()
+#: CRC-32 of a text of ASCII letters, bit by bit: reflected, polynomial 0xEDB88320.
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+
+@query(T.oracle("candidates", f"""w AS (SELECT entityId, {CRC32_SQL.format('entityId')} % 5 AS j FROM (SELECT DISTINCT entityId FROM candidates)),
+    a AS (SELECT c.*, CASE WHEN n % 5 = j THEN n // 5 END AS step FROM (SELECT *, substr(actionId, 8)::INT AS n FROM candidates) c JOIN w USING (entityId)),
+    f AS (SELECT entityId, evaluatedAt, min({{'step': step, 'channel': channel}}) FILTER (eligible AND step IS NOT NULL) AS own, min({{'actionId': actionId, 'channel': channel}}) FILTER (eligible) AS other FROM a GROUP BY ALL)
+    SELECT a.entityId, a.evaluatedAt, a.actionId, a.channel, (eligible AND CASE WHEN own IS NULL THEN a.actionId = other.actionId AND a.channel = other.channel ELSE coalesce(step = own.step AND a.channel = own.channel, false) END)::INT AS playbook FROM a JOIN f ON f.entityId = a.entityId AND f.evaluatedAt = a.evaluatedAt"""))
 def m10_f15_playbook_score(spark, sf_dir):
-    """No SQL: DuckDB has no CRC-32. A test holds it against a plain loop."""
     c = T.candidates(spark, sf_dir)
     n = F.substring_index("actionId", "_", -1).cast("int")
     journeys = c.select("actionId").distinct().select((n % 5).alias("journey"), F.floor(n / 5).cast("int").alias("step"), "actionId")

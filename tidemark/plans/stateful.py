@@ -22,7 +22,30 @@ def contact_events(spark, sf_dir):
     return lifecycle.lifecycle_events(creates, dispositions, signals)
 
 
-@query()
+LIFE = lifecycle.Config()
+GONE = "('FAILED', 'HARD_COMPLETED', 'EXPIRED', 'SUPPRESSED', 'DEBOUNCED', '')"
+
+
+def _due(ts: str, source: str) -> str:
+    """SQL: what timers have done by ``ts``, first the end of the debounce and then expiry, to the state (st, dl) of ``source``; o lists the transitions."""
+    started = f"SELECT *, CASE WHEN w THEN 'IN_PROCESS' ELSE st END AS s1, CASE WHEN w THEN dl + {LIFE.ttl_ms} ELSE dl END AS d1, CASE WHEN w THEN [{{'ts': dl, 'state': 'IN_PROCESS', 'op': 'DISPATCH'}}] ELSE [] END AS o1 FROM (SELECT *, st = 'CREATED' AND dl <= {ts} AS w FROM ({source}))"
+    return f"SELECT * EXCLUDE (st, dl, w, s1, d1, o1, x), CASE WHEN x THEN 'EXPIRED' ELSE s1 END AS st, CASE WHEN x THEN -1 ELSE d1 END AS dl, CASE WHEN x THEN o1 || [{{'ts': d1, 'state': 'EXPIRED', 'op': NULL}}] ELSE o1 END AS o FROM (SELECT *, s1 NOT IN {GONE} AND s1 <> 'CREATED' AND d1 BETWEEN 0 AND {ts} AS x FROM ({started}))"
+
+
+MOVES = f"""CASE WHEN kind = 'CREATE' THEN CASE WHEN NOT live THEN 'CREATED' END WHEN NOT live THEN NULL WHEN kind = 'HARD' THEN 'HARD_COMPLETED'
+    WHEN kind = 'SUPPRESS' THEN CASE WHEN st = 'CREATED' THEN 'SUPPRESSED' WHEN st <> 'SUPPRESSING' THEN 'SUPPRESSING' END
+    WHEN st <> 'CREATED' AND cid = corr THEN CASE WHEN raw = 'Unsubscribe' AND st <> 'DECLINED' THEN 'DECLINED' WHEN raw <> 'Unsubscribe' AND st <> 'PRESENTED' THEN 'PRESENTED' END END"""
+
+
+@query(T.oracle("sends dispositions", f"""v AS (SELECT entityId, actionId, channel, decisionTs AS ts, 0 AS seq, 'CREATE' AS kind, NULL AS raw, correlationId AS cid FROM sends UNION ALL SELECT entityId, actionId, channel, eventTs, 1, 'DISPOSITION', raw, correlationId FROM dispositions
+        UNION ALL SELECT entityId, actionId, channel, decisionTs + CASE status WHEN 'F' THEN {T.DAY_MS} ELSE 30000 END, 2, CASE status WHEN 'F' THEN 'HARD' ELSE 'SUPPRESS' END, NULL, correlationId FROM sends WHERE status <> 'O'),
+    e AS (SELECT *, row_number() OVER (PARTITION BY entityId, actionId, channel ORDER BY ts, seq, kind, raw NULLS FIRST, cid NULLS FIRST) AS place FROM v),
+    g AS (SELECT DISTINCT entityId, actionId, channel, 0::BIGINT AS place, '' AS st, -1::BIGINT AS dl, '' AS corr, []::STRUCT(ts BIGINT, state VARCHAR, op VARCHAR)[] AS o FROM e
+        UNION ALL SELECT entityId, actionId, channel, place, coalesce(mv, st), CASE WHEN mv = 'CREATED' THEN ts + {LIFE.debounce_ms} WHEN mv IN {GONE} THEN -1 ELSE dl END, CASE WHEN mv = 'CREATED' THEN cid ELSE corr END,
+            CASE WHEN mv IS NULL THEN o ELSE o || [{{'ts': ts, 'state': mv, 'op': CASE mv WHEN 'SUPPRESSING' THEN 'CANCEL' END}}] END
+        FROM (SELECT *, {MOVES} AS mv FROM (SELECT *, st NOT IN {GONE} AS live FROM ({_due('ts', "SELECT e.*, g.st, g.dl, g.corr FROM g JOIN e ON e.entityId = g.entityId AND e.actionId = g.actionId AND e.channel = g.channel AND e.place = g.place + 1")})))),
+    z AS (SELECT entityId, actionId, channel, o FROM ({_due(str(T.NOW_MS), "SELECT * EXCLUDE (o) FROM g QUALIFY row_number() OVER (PARTITION BY entityId, actionId, channel ORDER BY place DESC) = 1")}))
+    SELECT entityId, actionId, channel, t.ts, t.state, t.op FROM (SELECT entityId, actionId, channel, unnest(o) AS t FROM g UNION ALL SELECT entityId, actionId, channel, unnest(o) FROM z)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def t5_lifecycle(spark, sf_dir):
     return lifecycle.replay_lifecycle(contact_events(spark, sf_dir), T.NOW_MS)
 
@@ -52,13 +75,11 @@ def sibling_contests(spark, sf_dir):
 def t8_stream_debounce(spark, sf_dir):
     """The stream's first verdict on each created candidate; losers have left the contest, who waits is judged again."""
     topic = topics.publish(sibling_contests(spark, sf_dir), "contests", CONTEST, idle_ms=T.DAY_MS)
-    found = topics.drain(siblings.stream_siblings(topic.stream(spark), CONTEST, DEBOUNCE), "verdicts")
+    with topics.rocksdb(spark):
+        found = topics.drain(siblings.stream_siblings(topic.stream(spark), CONTEST, DEBOUNCE), "verdicts")
     return found.where(F.col("ts") == F.col("evaluatedAt") + DEBOUNCE.debounce_ms).select(*CONTEST, "actionId", "channel", "verdict")
 
 
-LIFE = lifecycle.Config()
-
-
 @query(SIBLING_VERDICTS.replace("SELECT c.entityId", ", v AS (SELECT c.entityId", 1) + f""")
     SELECT v.entityId || '-' || v.evaluatedAt AS entityId, actionId, channel, evaluatedAt + t.ms AS ts, t.state, t.op
     FROM v JOIN (VALUES (NULL, 0, 'CREATED', NULL), (true, {DEBOUNCE.debounce_ms}, 'DEBOUNCED', NULL), (false, {LIFE.debounce_ms}, 'IN_PROCESS', 'DISPATCH'), (false, {LIFE.debounce_ms + LIFE.ttl_ms}, 'EXPIRED', NULL)) t(lost, ms, state, op)

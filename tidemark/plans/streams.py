@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators.ingest import with_fact_dims
+from tidemark.operators.merging import sink_name
 from tidemark.plans.register import Register
 from tidemark.plans.reports import NET
 from tidemark.sources import streams
@@ -106,3 +107,46 @@ def j12_definitions_in_time(spark, sf_dir):
     defined = definitions.DefinedEvents(spark, topics.new_folder(spark, "defined"))
     defined.drain_control(streams.read_files(spark, control.path, control.schema))
     return defined.drain_events(streams.read_files(spark, events.path, events.schema)).select("touchId", "name", "ttlSeconds")
+
+
+@query(T.oracle("touches", "SELECT channel, count(*) AS n, sum(touchId)::BIGINT AS ids FROM touches GROUP BY channel"))
+def s02_s03_t18_drain_loop(spark, sf_dir):
+    """Drains from one checkpoint with failures in between, a full reset, and drains from the entry offset: every touch is there once."""
+    topic = topics.publish(T.touches(spark, sf_dir), "touches", ["entityId"])
+    out, checkpoint = topics.new_folder(spark, "drained"), topics.new_folder(spark, "drained-checkpoint")
+    write, fail = streams.idempotent_batch(spark, out, streams.overwrite_parquet), {0, 2}
+
+    def each(df, batch_id):
+        write(df, batch_id)
+        if batch_id in fail:  # after its output was written, before its offsets are
+            fail.remove(batch_id)
+            raise ConnectionError("the source cannot be reached")
+
+    again = lambda: streams.read_files(spark, topic.path, topic.schema, max_files=1)
+    streams.run_continuously(again, checkpoint, each, drains=3)
+    streams.reset(spark, [], [out, checkpoint])
+    fail |= {1}
+    streams.run_continuously(again, checkpoint, each, drains=3)
+    rows = spark.read.schema(topic.schema).option("recursiveFileLookup", "true").parquet(out)
+    return rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum("touchId").alias("ids"))
+
+
+@query(T.oracle("touches", "SELECT touchId, channel FROM touches"))
+def t19_dedup_ingress(spark, sf_dir):
+    """Touches of which a third arrive again within two days: each is there once, and only two days of ids are kept."""
+    t = T.touches(spark, sf_dir)
+    again = t.where("touchId % 3 = 0").withColumn("ts", F.col("ts") + F.col("touchId") % 5 * 9 * HOUR)
+    topic = topics.publish(t.unionByName(again), "ingress", ["touchId"])
+    rows = streams.read_files(spark, topic.path, topic.schema).withColumn("at", F.timestamp_millis("ts"))
+    return topics.drain(streams.dedup_ingress(rows, ["touchId"], "at", f"{topic.delay_ms + 2 * DAY} milliseconds"), "deduped").select("touchId", "channel")
+
+
+@query(T.oracle("fact_history", """f AS (SELECT CASE WHEN key LIKE 'nba.disposition.%' THEN 'nba.facts' WHEN key LIKE 'nba.%' THEN 'nba.member.facts' ELSE 'datalake.streaming-inbound' END || '_shadow' AS topic, key FROM fact_history)
+    SELECT topic, count(*) AS n, count(DISTINCT key) AS keys FROM f GROUP BY topic"""))
+def s07_s21_shadow_topics(spark, sf_dir):
+    """A shadow run writes its facts beside the real topics; the file twin of the sink, read back by topic."""
+    key = F.col("key")
+    real = F.when(key.startswith("nba.disposition."), sink_name("nba.facts", True)).when(key.startswith("nba."), sink_name("nba.member.facts", True)).otherwise(sink_name("datalake.streaming-inbound", True))
+    path = topics.new_folder(spark, "sinks")
+    streams.write_topic_files(T.fact_history(spark, sf_dir).withColumn("topic", real), path)
+    return spark.read.parquet(path).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))

@@ -27,13 +27,13 @@ def run_to_fixed_point(spark: SparkSession, live: topics.Topic, step: Callable[[
     """
     out, checkpoint = topics.new_folder(spark, f"{name}-loop"), topics.new_folder(spark, f"{name}-checkpoint")
     spark.createDataFrame([], live.schema).write.parquet(f"{out}/batch=-1")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", topics.ROCKSDB)
     loop = spark.read.schema(live.schema).option("recursiveFileLookup", "true")
     before = -1
     for _ in range(most):
         back = spark.readStream.schema(live.schema).option("recursiveFileLookup", "true").parquet(out)
         both = union_streams(streams.read_files(spark, live.path, live.schema), back)
-        streams.run_available_now(step(both), checkpoint, streams.idempotent_batch(spark, out, streams.overwrite_parquet))
+        with topics.rocksdb(spark):
+            streams.run_available_now(step(both), checkpoint, streams.idempotent_batch(spark, out, streams.overwrite_parquet))
         now = loop.parquet(out).count()
         if now == before or now == 0:
             return loop.parquet(out)

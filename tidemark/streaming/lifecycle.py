@@ -18,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.functions.scalars import STATUS_STATES
 
 KEY = ["entityId", "actionId", "channel"]
+#: How events of a contact follow each other; the last columns only decide between events of one time.
+ORDER = ["ts", "seq", "kind", "raw", "correlationId"]
 TERMINAL = {"FAILED", "HARD_COMPLETED", "EXPIRED", "SUPPRESSED", "DEBOUNCED"}
 OUTPUT = "entityId string, actionId string, channel string, ts long, state string, op string"
 STATE = "state string, deadline long, soft boolean, correlationId string"
@@ -112,11 +114,11 @@ def _rows(key: tuple, out: Iterable[Out]) -> pd.DataFrame:
 
 
 def _in_order(pdf: pd.DataFrame) -> Iterator:
-    return pdf.sort_values(["ts", "seq"]).itertuples(index=False)
+    return pdf.sort_values(ORDER, na_position="first").itertuples(index=False)
 
 
 def replay_lifecycle(events: DataFrame, until_ms: int, cfg: Config = Config()) -> DataFrame:  # noqa: B008
-    """Batch twin: transitions of every contact. ``events``: KEY, ts, seq (order of equal times), kind, raw, correlationId.
+    """Batch twin: transitions of every contact. ``events``: KEY, ts, seq (order of equal times, then by content), kind, raw, correlationId.
 
     Events are dealt by contact and sorted inside partitions, then stepped through as a stream: a task holds one instance at a
     time, whatever the length of a history.
@@ -137,7 +139,7 @@ def replay_lifecycle(events: DataFrame, until_ms: int, cfg: Config = Config()) -
         if key is not None:
             yield _rows(tuple(key), due(i, until_ms, cfg))
 
-    dealt = events.repartition(*KEY).sortWithinPartitions(*KEY, "ts", "seq")
+    dealt = events.repartition(*KEY).sortWithinPartitions(*KEY, *ORDER)
     return dealt.select(columns).mapInPandas(run, OUTPUT)
 
 

@@ -8,6 +8,8 @@ the step's width, which is the watermark's delay.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,10 +63,21 @@ def publish(df: DataFrame, name: str, keys: list[str], ts: str = "ts", steps: in
     return topic
 
 
-def drain(df: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which keyed state with maps and timers needs."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def drain(df: DataFrame, name: str) -> DataFrame:
     """What a stream appends until its input is used up, as a table. Batches are written under their ids, so a retried one replaces itself."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = out or new_folder(spark, name)
-    streams.run_available_now(df, checkpoint or new_folder(spark, f"{name}-checkpoint"), streams.idempotent_batch(spark, out, streams.overwrite_parquet))
+    out = new_folder(spark, name)
+    streams.run_available_now(df, new_folder(spark, f"{name}-checkpoint"), streams.idempotent_batch(spark, out, streams.overwrite_parquet))
     return spark.read.schema(df.schema).option("basePath", out).option("recursiveFileLookup", "true").parquet(out)
