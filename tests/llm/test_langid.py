@@ -48,7 +48,9 @@ def corpus(n=150):
     return rows
 
 
-def test_predictions_equal_brute_force_and_are_right(spark):
+@pytest.mark.parametrize("most", [langid.MOST_LANGUAGES, 1])
+def test_predictions_equal_brute_force_and_are_right(spark, monkeypatch, most):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", most)
     rows = corpus() + [(500, None, "xx", None), (501, "", "xx", None), (502, "12 !!", "xx", None), (None, "kato mira", None, "xx"), (3, "öler und", "yy", "yy")]
     docs = spark.createDataFrame([(i, t, lang, 0.5) for i, t, lang, _ in rows], "doc_id long, text string, lang string, score double")
     got = langid.identify(docs).collect()
@@ -77,3 +79,14 @@ def test_no_language_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, "abc", None)], "doc_id long, text string, lang string")
     assert {x.lang_pred for x in langid.identify(docs).collect()} == {"und"}
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_more_languages_than_are_sent_at_once(spark, monkeypatch):
+    """A column full of dirt: as many languages as documents. Predictions and the filter are those of one block."""
+    rows = [(i, t, f"{lang}-{i}", None) for i, t, lang, _ in corpus(60)] + [(900, "ηλιος νερό", None, None), (901, None, "a", None), (902, "7 8", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    one = sorted(map(tuple, langid.identify(docs).collect()))
+    kept = sorted(r.doc_id for r in langid.keep_identified(docs, least=0.5).collect())
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 7)
+    assert sorted(map(tuple, langid.identify(docs).collect())) == one and len({x[2] for x in one}) > 20
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, least=0.5).collect()) == kept == list(range(60))

@@ -8,6 +8,7 @@ lies from its rank in the language's, or the profile's length where that lacks i
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -22,7 +23,7 @@ from tidemark.workspace import materialise
 PROFILE = 400
 UNKNOWN = "und"
 
-#: Profiles are sent to every task: PROFILE numbers for each of at most so many languages.
+#: Profiles are sent to every task: PROFILE numbers for each of about so many languages. Where there are more, texts go through several blocks.
 MOST_LANGUAGES = 2_000
 
 #: n-grams are counted in blocks of so many characters, and passed on when a task holds so many distinct ones.
@@ -77,8 +78,11 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> list[tuple[str, list[int]]]:
-    """(lang, profile) for each non-null language of ``docs``, in the order of the languages' code points.
+Profiles = list[tuple[str, list[int]]]
+
+
+def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> DataFrame:
+    """lang, rank, gram: the profile of each non-null language of ``docs``.
 
     Every document and whole text counts; null texts and texts without letters add nothing. An empty table gives no profile.
     """
@@ -109,19 +113,25 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
     totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = materialise(totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "rank", "gram"), "profiles")
-    if top.select("lang").distinct().count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: their profiles are too many to send to every task")
-    found: dict[str, list[int]] = {}
-    for lang, _, gram in sorted(top.collect(), key=lambda r: (r["lang"].encode(), r["rank"])):
-        found.setdefault(lang, []).append(gram)
-    return list(found.items())
+    return materialise(totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "rank", "gram"), "profiles")
+
+
+def profile_blocks(top: DataFrame) -> Iterator[Profiles]:
+    """(lang, profile) of all languages, in blocks of about MOST_LANGUAGES, each in the order of the languages' code points."""
+    blocks = max(1, -(-top.select("lang").distinct().count() // MOST_LANGUAGES))
+    for number in range(blocks):
+        found: dict[str, list[int]] = {}
+        part = top.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == number)
+        for lang, _, gram in sorted(part.collect(), key=lambda r: (r["lang"].encode(), r["rank"])):
+            found.setdefault(lang, []).append(gram)
+        if found or blocks == 1:
+            yield list(found.items())
 
 
 class Predictor:
     """Nearest profile; with equal distances the first language by code point."""
 
-    def __init__(self, profiles: list[tuple[str, list[int]]], size: int = PROFILE):
+    def __init__(self, profiles: Profiles, size: int = PROFILE):
         self.langs, self.size = [lang for lang, _ in profiles], size
         self.grams = np.unique(np.array([g for _, p in profiles for g in p], np.uint64))
         self.ranks = np.full((len(self.grams) + 1, len(profiles)), -1, np.int32)  # the last row is for unknown n-grams
@@ -141,7 +151,7 @@ class Predictor:
         return self.langs[best], float(1 - away[best] / (self.size * len(own)))
 
 
-def predicted(text: Column, spark, profiles: list[tuple[str, list[int]]]) -> Column:
+def predicted(text: Column, spark, profiles: Profiles) -> Column:
     """struct<lang_pred, score> for ``text``: ``und`` and 0 where it is null or has no letter, or no language is known."""
     shared = spark.sparkContext.broadcast(profiles)
     made: list[Predictor] = []
@@ -161,9 +171,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Profiles are learned from documents outside the fold that have a language; language, source and id are no inputs of a
     prediction. Repeated rows are each returned, null ids count as empty text for the fold, other columns are ignored.
     """
-    out = held_out(F.col(id_col), folds, fold)
-    profiles = learn_profiles(docs.where(~out), lang_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), predicted(F.col(text_col), docs.sparkSession, profiles).alias("found"))
+    out, spark = held_out(F.col(id_col), folds, fold), docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
+    blocks = profile_blocks(learn_profiles(docs.where(~out), lang_col, text_col))
+    rows = rows.withColumn("found", predicted(F.col("text"), spark, next(blocks)))
+    for profiles in blocks:  # the best so far against the next block's; equal scores go to the first language by code point
+        both = F.array(*[F.struct((-c["score"]).alias("far"), c["lang_pred"].alias("lang")) for c in (F.col("found"), predicted(F.col("text"), spark, profiles))])
+        best = F.array_min(both)
+        rows = materialise(rows.withColumn("found", F.struct(best["lang"].alias("lang_pred"), (-best["far"]).alias("score"))), "identified")
     return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
@@ -174,10 +189,13 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     Where no document has a language, nothing can be learned and only texts without letters go.
     """
     with arrow_batches(docs.sparkSession):
-        profiles = learn_profiles(docs, lang_col, text_col)
-        if not profiles:
+        top = learn_profiles(docs, lang_col, text_col)
+        if top.isEmpty():
             return docs.where(F.col(text_col).rlike(r"\p{L}"))
-        gone = materialise(_rejected(docs.select(*_twice_hashed(docs[text_col]), docs[text_col].alias("text")), profiles, least).distinct(), "rejected")
+        gone = docs.select(*_twice_hashed(docs[text_col]), docs[text_col].alias("text"))
+        for profiles in profile_blocks(top):  # what no block's languages resemble
+            gone = materialise(_rejected(gone, profiles, least).distinct(), "rejected")
+        gone = gone.select("first", "second")
     # Only the texts went to Python; rows lack what was rejected by two hashes of the text.
     first, second = _twice_hashed(docs[text_col])
     return docs.where(docs[text_col].isNotNull()).join(broadcast_if_small(gone), (first == gone["first"]) & (second == gone["second"]), "left_anti")
@@ -187,14 +205,14 @@ def _twice_hashed(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("first"), F.xxhash64(F.lit(1), text).alias("second")
 
 
-def _rejected(texts: DataFrame, profiles: list[tuple[str, list[int]]], least: float) -> DataFrame:
-    """first, second of those ``texts`` (first, second, text) whose score is below ``least``."""
+def _rejected(texts: DataFrame, profiles: Profiles, least: float) -> DataFrame:
+    """Those rows of ``texts`` (first, second, text) whose score is below ``least``."""
     shared = texts.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
         predictor = Predictor(shared.value)
         for batch in batches:
             low = np.array([predictor.predict(t.as_py())[1] < least for t in batch.column(2)], bool)
-            yield batch.select([0, 1]).filter(pa.array(low))
+            yield batch.filter(pa.array(low))
 
-    return texts.mapInArrow(run, "first long, second long")
+    return texts.mapInArrow(run, "first long, second long, text string")
