@@ -150,6 +150,37 @@ def test_rules_from_trees_and_lasso():
     assert set(np.flatnonzero(w)) == {2, 7} and w[2] > 0 > w[7]
 
 
+def test_compiled_rules_equal_brute_force(spark):
+    """The columns that rules compile to against the rules themselves and a plain sum, at and around their bounds."""
+    r = np.random.default_rng(5)
+    rows = {f: r.integers(0, 5, 300) / 2 for f in "abc"}
+    found = [rules.Rule((("a", -math.inf, 1.0),), 0.7), rules.Rule((("a", 0.5, 2.0), ("b", 1.0, math.inf)), -1.3), rules.Rule((("b", 0.0, 0.5), ("c", -math.inf, 2.0)), 0.25), rules.Rule((("c", 2.0, math.inf),), 2.0)]
+    df = spark.createDataFrame([(i, *(float(rows[f][i]) for f in "abc")) for i in range(300)], "i int, a double, b double, c double")
+    got = df.select("i", rules.rule_score(found, -0.4).alias("score"), *(x.column().alias(f"h{k}") for k, x in enumerate(found))).orderBy("i").collect()
+    for i, row in enumerate(got):
+        held = [all(low < rows[f][i] <= high for f, low, high in x.bounds) for x in found]
+        assert [row[f"h{k}"] for k in range(4)] == held == [bool(x.holds(rows)[i]) for x in found]
+        assert row.score == pytest.approx(1 / (1 + math.exp(0.4 - sum(x.weight for x, h in zip(found, held, strict=True) if h))))
+
+
+def test_lasso_reaches_the_optimum_of_a_plain_loop():
+    r = np.random.default_rng(6)
+    x = (r.random((500, 6)) < 0.4).astype(float)
+    y = (r.random(500) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 3] - 0.3)))).astype(float)
+
+    def loss(w, b):
+        z = x @ w + b
+        return float(np.mean(np.logaddexp(0, z) - y * z) + 0.01 * np.abs(w).sum())
+
+    w, b = np.zeros(6), 0.0
+    for _ in range(20_000):  # proximal gradient, without acceleration, small steps
+        miss = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w = w - 0.5 * x.T @ miss / 500
+        w, b = np.sign(w) * np.maximum(np.abs(w) - 0.5 * 0.01, 0), b - 0.5 * miss.mean()
+    got = rules.lasso_logistic(x, y, penalty=0.01)
+    assert loss(*got) == pytest.approx(loss(w, b), abs=1e-5) and set(np.flatnonzero(np.abs(got[0]) > 1e-4)) == set(np.flatnonzero(np.abs(w) > 1e-4))
+
+
 def test_quality_scores(spark):
     r = random.Random(2)
     rows, labels = [], []
