@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import lbl, rules, urls
 
@@ -78,8 +79,8 @@ def test_lm_score_equals_brute_force(spark, monkeypatch, frequent):
     rows = lm_rows()
     texts = spark.createDataFrame([(i, t, held(i, 7, 2)) for i, t in rows], "doc_id long, text string, out boolean")
     counts = Counter(t for i, x in rows if not held(i, 7, 2) for t in lbl.tokens(x))
-    model = lbl.fit(texts.where("not out"))[1]
-    got = sorted((lbl.tokens(t), s) for t, s in lbl.score_texts(texts).join(texts, "doc_id").select("text", "score").distinct().collect())
+    model = lbl.fit(texts, F.col("out"))[1]
+    got = sorted((lbl.tokens(t), s) for t, s in lbl.score_texts(texts, out=F.col("out")).join(texts, "doc_id").select("text", "score").distinct().collect())
     assert len({repr(t) for t, _ in got}) > 50
     for found, score in got:
         assert score == pytest.approx(brute_score(model, counts, b" ".join(found[:-1]).decode()), rel=1e-4)
@@ -89,7 +90,7 @@ def test_lm_probabilities_are_normalised(spark, monkeypatch):
     """Over the training vocabulary and one unknown token for each ending, the probabilities after any context add up to 1."""
     monkeypatch.setattr(lbl, "HEAD", 12)
     texts = spark.createDataFrame(lm_rows(), "doc_id long, text string")
-    counts, model, total, distinct = lbl.fit(texts)
+    counts, model, total, distinct, _ = lbl.fit(texts)
     size = len(model.net.after)
     assert size == 12 + lbl.ENDINGS and total == sum(r["n"] for r in counts.collect())
     for context in ([0, 0, 0], [3, 0, 0], [50, 5, 1]):
@@ -117,7 +118,7 @@ def test_nce_with_drawn_noise_learns_conditional_distributions():
     for _ in range(60_000):
         text.append(int(follow[text[-2]]) if r.random() < 0.8 else int(r.integers(size)))
     net = lbl.Net.fresh(np.bincount(text, minlength=size), 32)
-    trainer = lbl.Trainer(net, 0)
+    trainer = lbl.Trainer(net, [np.full_like(p, 1e-6) for p in net.params()], [0])
     now, before = lbl.windows([text])
     for _ in range(12):
         for at in range(0, len(now), 2_000):

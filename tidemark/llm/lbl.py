@@ -4,8 +4,9 @@ The vectors of the last CONTEXT tokens, each weighted by the place it stands in,
 vector. The HEAD most frequent tokens have vectors of their own; each other token has that of its ending (its last bytes,
 hashed into ENDINGS classes), inside which it takes its add-one unigram share. Classes lie in groups of WIDE, and
 p(class | context) = p(group | context) p(class | group, context), two softmaxes over products with the prediction, so that
-normalising costs the root of the vocabulary. Every Spark task trains the model on all tokens of its part of the training
-documents, in batches with noise drawn for each, and the tasks' vectors are averaged, weighted by how often they occurred.
+normalising costs the root of the vocabulary. Training goes in ROUNDS over disjoint slices of the training documents, so that each
+token is seen once: in a round every Spark task trains the model of the round before on all tokens of its part of the slice, in
+batches with noise drawn for each, and the tasks' vectors and step sizes are averaged, weighted by how often they occurred.
 Scores are matrix products over batches of tokens.
 """
 
@@ -15,8 +16,8 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from itertools import chain
+from dataclasses import dataclass, replace
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,11 @@ from tidemark.workspace import materialise
 HEAD, ENDINGS, ENDING, WIDE = 4_000, 96, 3, 64
 
 #: Tokens of context, length of a vector, noise samples (drawn for each softmax of a batch; with 8, biases drift), tokens in a
-#: batch, size of Adagrad's steps.
-CONTEXT, WIDTH, NOISE, BATCH, RATE, SEED = 3, 16, 24, 8_192, 0.1, 11
+#: batch (at least; at most twice as many), size of Adagrad's steps.
+CONTEXT, WIDTH, NOISE, BATCH, RATE, SEED = 3, 16, 24, 16_384, 0.1, 11
+
+#: Averages of the tasks' models: each starts from the one before, so that tasks do not drift apart, however many they are.
+ROUNDS = 8
 
 #: Counts of at most so many frequent tokens, none longer than LONGEST bytes, are sent to every task; all others are joined.
 FREQUENT, LONGEST = 100_000, 64
@@ -112,16 +116,16 @@ class Classes(dict):
         self.head = len(self)
 
 
-def windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def windows(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(classes of all tokens of ``texts``, the CONTEXT classes before each, the nearest first); ends stand before a text."""
-    ends = [0] * CONTEXT
-    flat = np.fromiter(chain.from_iterable(chain.from_iterable((ends, text) for text in texts)), np.int16)
     lengths = np.array([len(text) + CONTEXT for text in texts])
     starts = np.cumsum(lengths) - lengths
-    inside = np.ones(len(flat), bool)
+    inside = np.ones(int(lengths.sum()), bool)
     for k in range(CONTEXT):
         inside[starts + k] = False
     at = np.flatnonzero(inside)
+    flat = np.zeros(len(inside), np.int16)
+    flat[at] = np.concatenate([np.asarray(text, np.int16) for text in texts])
     return flat[at], np.stack([flat[at - k] for k in range(1, CONTEXT + 1)])
 
 
@@ -200,9 +204,8 @@ def _nce(ahead, target, vectors, bias, chance, noise, rng):
 class Trainer:
     """Steps of Adagrad on batches of tokens."""
 
-    def __init__(self, net: Net, seed: int, noise: int = NOISE, rate: float = RATE):
-        self.net, self.noise, self.rate, self.rng = net, noise, rate, np.random.default_rng([SEED, seed])
-        self.squares = [np.full_like(p, 1e-6) for p in net.params()]
+    def __init__(self, net: Net, squares: list[np.ndarray], seed: list[int], noise: int = NOISE, rate: float = RATE):
+        self.net, self.squares, self.noise, self.rate, self.rng = net, squares, noise, rate, np.random.default_rng([SEED, *seed])
         self.seen = [np.zeros(len(net.often)), np.zeros(len(net.often))]
         self.of_group = np.add.reduceat(net.often, np.arange(0, len(net.often), WIDE))
 
@@ -227,7 +230,7 @@ class Trainer:
             seen += np.bincount(these, minlength=len(seen))
 
 
-def _batches(lists: Iterable[list[int]], most: int = BATCH) -> Iterator[list[list[int]]]:
+def _batches(lists: Iterable, most: int = BATCH) -> Iterator[list]:
     """Lists of whole texts with ``most`` tokens or more together, but for the last."""
     held, n = [], 0
     for one in lists:
@@ -240,62 +243,113 @@ def _batches(lists: Iterable[list[int]], most: int = BATCH) -> Iterator[list[lis
         yield held
 
 
-def train(texts: DataFrame, head: list[bytes], often: np.ndarray, text_col: str = "text", width: int = WIDTH) -> Net:
-    """The average of the models that tasks train from one start on their parts of ``texts``.
+def _tables(params: list[np.ndarray]) -> list[np.ndarray]:
+    """Vectors with their biases as the last column (0 where there are none): before, after, group, place."""
+    before, after, bias, group, group_bias, place = params
+    return [np.hstack([m, np.zeros((len(m), 1), np.float32) if b is None else b[:, None]]) for m, b in ((before, None), (after, bias), (group, group_bias), (place, None))]
+
+
+def _params(tables: list[np.ndarray]) -> list[np.ndarray]:
+    before, after, group, place = tables
+    return [np.ascontiguousarray(x) for x in (before[:, :-1], after[:, :-1], after[:, -1], group[:, :-1], group[:, -1], place[:, :-1])]
+
+
+def train(encoded: DataFrame, often: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS) -> Net:
+    """The model after ``rounds`` of training in parallel and averaging, each over its own slice of the texts (``classes``, ``slice``).
 
-    A vector is weighted by the times its class occurred in the task; classes that never occur stay as they began. A task
+    A vector is weighted by the times its class occurred in the task; classes that never occur stay as they were. In each round a task
     returns as many rows as there are classes, whatever its part; a long text takes several steps.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((head, often))
+    net = Net.fresh(often, width)
+    squares = [np.full_like(p, 1e-6) for p in net.params()]
+    for number in range(rounds):
+        net, squares = _round(encoded.where(F.pmod("slice", F.lit(rounds)) == number).select("classes"), net, squares, number)
+    return net
+
+
+def _round(texts: DataFrame, net: Net, squares: list[np.ndarray], number: int) -> tuple[Net, list[np.ndarray]]:
+    shared = texts.sparkSession.sparkContext.broadcast((net, squares))
+    width = net.before.shape[1]
     values = [f"v{k}" for k in range(width + 1)]
 
     def run(batches):
-        classes = Classes(shared.value[0])
-        trainer = Trainer(Net.fresh(shared.value[1], width), TaskContext.get().partitionId())
-        lists = ([classes[t] for t in tokens(text.as_py())] for batch in batches for text in batch.column(0))
-        for some in _batches(lists):
+        start, begun = shared.value
+        own = Net(*[p.copy() for p in start.params()], start.often)
+        trainer = Trainer(own, [s.copy() for s in begun], [TaskContext.get().partitionId(), number])
+        for some in _batches(np.frombuffer(text.as_py(), np.int16) for batch in batches for text in batch.column(0)):
             now, before = windows(some)
             for at in range(0, len(now), 2 * BATCH):
                 trainer.step(now[at : at + 2 * BATCH], before[:, at : at + 2 * BATCH])
-        net, (as_before, as_after) = trainer.net, trainer.seen
-        none = np.zeros((len(often), 1), np.float32)
-        everywhere = [np.full(n, as_after.sum()) for n in (len(net.group), CONTEXT)]
-        tables = [np.hstack([net.before, none]), np.hstack([net.after, net.bias[:, None]]), np.hstack([net.group, net.group_bias[:, None]]), np.hstack([net.place, none[:CONTEXT]])]
-        for kind, (table, weight) in enumerate(zip(tables, [as_before, as_after, *everywhere], strict=True)):
-            rows = np.flatnonzero(weight)
-            columns = [np.full(len(rows), kind, np.int32), rows.astype(np.int32), weight[rows], *(table[rows].astype(np.float64) * weight[rows, None]).T]
+        as_before, as_after = trainer.seen
+        weights = [as_before, as_after, *(np.full(n, as_after.sum()) for n in (len(own.group), CONTEXT))]
+        for kind, table in enumerate([*_tables(own.params()), *_tables(trainer.squares)]):
+            weight = weights[kind % 4]
+            some = np.flatnonzero(weight)
+            columns = [np.full(len(some), kind, np.int32), some.astype(np.int32), weight[some], *(table[some].astype(np.float64) * weight[some, None]).T]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "row", "weight", *values])
 
     schema = "kind int, row int, weight double, " + ", ".join(f"{v} double" for v in values)
-    trained = texts.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
     # Sums in another order differ in their last digits; rounding makes reruns agree.
-    mean = trained.groupBy("kind", "row").agg(*(F.round(F.sum(v) / F.sum("weight"), 6).alias(v) for v in values))
-    net = Net.fresh(often, width)
-    targets = [(net.before, None), (net.after, net.bias), (net.group, net.group_bias), (net.place, None)]
-    for kind, row, *v in mean.collect():
-        targets[kind][0][row] = v[:-1]
-        if targets[kind][1] is not None:
-            targets[kind][1][row] = v[-1]
-    return net
+    mean = texts.mapInArrow(run, schema).groupBy("kind", "row").agg(*(F.round(F.sum(v) / F.sum("weight"), 6).alias(v) for v in values)).toArrow()
+    tables = [*_tables(net.params()), *_tables(squares)]
+    kinds, places = (mean.column(c).to_numpy() for c in ("kind", "row"))
+    table = np.stack([mean.column(v).to_numpy() for v in values], axis=1).astype(np.float32) if len(kinds) else np.empty((0, width + 1), np.float32)
+    for kind, target in enumerate(tables):
+        target[places[kinds == kind]] = table[kinds == kind]
+    return Net(*_params(tables[:4]), net.often), [np.maximum(s, 1e-6) for s in _params(tables[4:])]
 
 
 @dataclass
 class Model:
-    """What tasks need: frequent tokens with their log10(n + 1), the first ``head`` of them classes of their own, the net, and
-    log10 of the sum of n + 1 over each ending's tokens and one that was never seen."""
+    """What tasks need: frequent tokens with their log10(n + 1), the first ``head`` of them classes of their own, log10 of the
+    sum of n + 1 over each ending's tokens and one that was never seen, and the net once it is trained."""
 
     known: dict[bytes, int]
     logs: np.ndarray
     seen: np.ndarray
     head: int
     class_of: list[int]
-    net: Net
     masses: np.ndarray
+    net: Net | None = None
+
+
+def encode(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, slice (as in ``rows``) and of each text: n_tokens, n_known, logs and tail (what frequent tokens add to the base
+    score, and to the model's inside the classes of endings), rare and times (its other tokens), classes (int16 of all tokens)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("tail", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("classes", pa.binary())]
+
+    def rows_of(m: Model, texts: list[list[bytes]]) -> Iterator[tuple]:
+        numbers = [list(map(m.known.get, found, repeat(-1))) for found in texts]
+        # A frequent token's class is looked up by its number; a rare one has that of its ending.
+        classes = np.array([m.class_of[k] if k >= 0 else m.head + ending(t) for ks, found in zip(numbers, texts, strict=True) for k, t in zip(ks, found, strict=True)], np.int16)
+        at = np.fromiter(chain.from_iterable(numbers), np.int64, len(classes))
+        logs, known, tail = np.where(at >= 0, m.logs[at], 0.0), (at >= 0) & m.seen[at], np.zeros(len(at))
+        # In the class of an ending a token's share is (n + 1) over a fixed sum; the rare ones' n is joined later.
+        inside = np.flatnonzero(classes >= m.head)
+        tail[inside] = logs[inside] - m.masses[classes[inside] - m.head]
+        end = 0
+        for found in texts:
+            part = slice(end, end := end + len(found))
+            missing = Counter(found[k] for k in np.flatnonzero(at[part] < 0).tolist())
+            yield len(found), int(known[part].sum()), float(logs[part].sum()), float(tail[part].sum()), list(missing), list(missing.values()), classes[part].tobytes()
+
+    def run(batches):
+        for batch in batches:
+            found = [row for some in _batches(tokens(text.as_py()) for text in batch.column(3)) for row in rows_of(shared.value, some)]
+            columns = list(zip(*found, strict=True)) or [()] * len(kinds)
+            columns = [pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "held_out", "slice", *(k for k, _ in kinds)])
 
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, slice long, n_tokens long, n_known long, logs double, tail double, rare array<binary>, times array<long>, classes binary"
+    return rows.select("doc_id", "held_out", "slice", "text").mapInArrow(run, schema)
 
-def fit(train_docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model, int, int]:
-    """The token counts as a table, the model, N and V."""
-    counts = materialise(token_counts(train_docs, text_col), "token-counts")
+
+def fit(docs: DataFrame, out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model, int, int, DataFrame]:
+    """The token counts as a table, the model, N and V, learned where ``out`` is false (default: everywhere), and the encoded texts of all rows."""
+    out = F.lit(False) if out is None else F.coalesce(out, F.lit(False))
+    rows = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.xxhash64(F.col(text_col)).alias("slice"), F.col(text_col).alias("text"))
+    counts = materialise(token_counts(rows.where("not held_out")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_tokens(counts)
     head = frequent[:HEAD]
@@ -308,12 +362,12 @@ def fit(train_docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model
         if n:
             rest[ending(token)] -= n
             masses[ending(token)] -= n + 1
-    names = [t for t, _ in head]
-    classes = Classes(names)
-    net = train(train_docs, names, np.concatenate([[n for _, n in head], rest]), text_col)
+    classes = Classes(t for t, _ in head)
     seen = np.array([n for _, n in frequent], dtype=np.float64)
-    model = Model({t: i for i, (t, _) in enumerate(frequent)}, np.log10(seen + 1), seen > 0, len(head), [classes[t] for t, _ in frequent], net, np.log10(masses))
-    return counts, model, total, distinct
+    model = Model({t: i for i, (t, _) in enumerate(frequent)}, np.log10(seen + 1), seen > 0, len(head), [classes[t] for t, _ in frequent], np.log10(masses))
+    encoded = materialise(encode(rows, model), "encoded")
+    net = train(encoded.where("not held_out"), np.concatenate([[n for _, n in head], rest]))
+    return counts, replace(model, net=net), total, distinct, encoded
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: Column | None = None) -> DataFrame:
@@ -324,43 +378,24 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text for the fold. Without training rows N and V are 0. Other columns are ignored; an empty table gives no rows.
     """
     out = held_out(F.col(id_col), 7, 2) if out is None else out
-    counts, model, total, distinct = fit(docs.where(~out), text_col)
-    shared, base = docs.sparkSession.sparkContext.broadcast(model), math.log10(total + distinct + 1)
+    counts, model, total, distinct, encoded = fit(docs, out, id_col, text_col)
+    shared, base = docs.sparkSession.sparkContext.broadcast(model.net), math.log10(total + distinct + 1)
 
     def run(batches):
-        m = shared.value
-        kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
-
-        def rows_of(texts):
-            """The columns of ``kinds`` for each of ``texts``; all their tokens are scored together."""
-            numbers = [[m.known.get(t, -1) for t in found] for found in texts]
-            # A frequent token's class is looked up by its number; a rare one has that of its ending.
-            lists = [[m.class_of[k] if k >= 0 else m.head + ending(t) for k, t in zip(ks, found, strict=True)] for ks, found in zip(numbers, texts, strict=True)]
-            now, before = windows(lists)
-            steps = range(0, len(now), 2 * BATCH)
-            logs_p = np.concatenate([m.net.log10_p(now[k : k + 2 * BATCH], before[:, k : k + 2 * BATCH]) for k in steps])
-            inside = now >= m.head
-            logs_p[inside] -= m.masses[now[inside] - m.head]
-            at = np.fromiter(chain.from_iterable(numbers), np.int64, len(now))
-            # In the class of an ending a token's share is (n + 1) over a fixed sum; the rare ones' n is joined later.
-            logs = np.where(at >= 0, m.logs[at], 0.0)
-            logs_p[inside] += logs[inside]
-            known = (at >= 0) & m.seen[at]
-            end = 0
-            for found in texts:
-                part = slice(end, end := end + len(found))
-                missing = Counter(found[k] for k in np.flatnonzero(at[part] < 0).tolist())
-                yield len(found), int(known[part].sum()), float(logs[part].sum()), float(logs_p[part].sum()), list(missing), list(missing.values())
-
+        net = shared.value
         for batch in batches:
-            rows = [row for some in _batches(tokens(text.as_py()) for text in batch.column(2)) for row in rows_of(some)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            columns = [pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", *(k for k, _ in kinds)])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<binary>, times array<long>"
-    local = materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+            found = [np.empty(0)]
+            for some in _batches(np.frombuffer(text.as_py(), np.int16) for text in batch.column(batch.num_columns - 1)):
+                now, before = windows(some)
+                steps = range(0, len(now), 2 * BATCH)
+                logs_p = np.concatenate([net.log10_p(now[k : k + 2 * BATCH], before[:, k : k + 2 * BATCH]) for k in steps])
+                lengths = np.array([len(text) for text in some])
+                found.append(np.add.reduceat(logs_p, np.cumsum(lengths) - lengths))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found))], [*batch.schema.names[:-1], "net_score"])
+
+    passed = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "tail", "rare", "times"]
+    schema = ", ".join(f"{c} {dict(encoded.dtypes)[c]}" for c in passed) + ", net_score double"
+    local = materialise(encoded.select(*passed, "classes").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
 
     rare = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     joined = rare.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -373,5 +408,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("score") + F.col("rare_logs")).alias("score"),
+        (F.col("net_score") + F.col("tail") + F.col("rare_logs")).alias("score"),
     )
