@@ -320,10 +320,12 @@ def encode(rows: DataFrame, model: Model) -> DataFrame:
     kinds = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("tail", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("classes", pa.binary())]
 
     def rows_of(m: Model, texts: list[list[bytes]]) -> Iterator[tuple]:
-        numbers = [list(map(m.known.get, found, repeat(-1))) for found in texts]
+        flat = list(chain.from_iterable(texts))
+        at = np.fromiter(map(m.known.get, flat, repeat(-1)), np.int64, len(flat))
         # A frequent token's class is looked up by its number; a rare one has that of its ending.
-        classes = np.array([m.class_of[k] if k >= 0 else m.head + ending(t) for ks, found in zip(numbers, texts, strict=True) for k, t in zip(ks, found, strict=True)], np.int16)
-        at = np.fromiter(chain.from_iterable(numbers), np.int64, len(classes))
+        classes = np.asarray(m.class_of, np.int16)[at]
+        rare = np.flatnonzero(at < 0)
+        classes[rare] = [m.head + ending(flat[k]) for k in rare.tolist()]
         logs, known, tail = np.where(at >= 0, m.logs[at], 0.0), (at >= 0) & m.seen[at], np.zeros(len(at))
         # In the class of an ending a token's share is (n + 1) over a fixed sum; the rare ones' n is joined later.
         inside = np.flatnonzero(classes >= m.head)
