@@ -1,5 +1,6 @@
 """Golden cases and properties of operators that the SQL comparison does not reach: nulls, ties, empty tables, plain loops."""
 
+import math
 import random
 import zlib
 
@@ -140,6 +141,59 @@ def test_trained_models_beat_chance(spark):
     assert out.where("prediction = arm").count() == 100
 
 
+def test_a_time_of_zero_is_none(spark):
+    shapes = ['{"entityId": "m", "key": "k", "value": 1, "ts": 0, "eventTs": 7}', '{"entityId": "n", "key": "k", "value": 1, "ts": 0}', '{"entityId": "o", "key": "k", "value": 1, "ts": 3, "eventTs": 7}']
+    got = ingest.normalize_inbound(spark.createDataFrame([(x,) for x in shapes], "payload string"), default_ts=99).collect()
+    assert {r.entityId: r.eventTs for r in got} == {"m": 7, "n": 99, "o": 3}
+
+
+def test_arms_of_nested_gates_and_leftovers_of_tests(spark):
+    gate = '{"op":"all","conditions":[{"fact":"operator.activity.daysSinceLogin","cmp":"lte","value":30},{"op":"any","conditions":[{"value":3,"cmp":"gte","fact":"operator.activity.completedTasks"}]}]}'
+    docs = [
+        ("ACTION:a", f'{{"id":"a","name":"A","channels":[{{"channel":"email"}},{{"channel":"sms"}}],"inclusion":{gate},"completion":{{"fact":"operator.activity.hraCompleted","cmp":"gte","value":1}}}}', 1),
+        ("ACTION:b", '{"id":"b","name":"B","channels":[{"channel":"push","contentKey":"x"},{"channel":""}],"inclusion":{"conditions":[]}}', 1),
+        ("ACTION:c", '{"id":"c","name":"ComplCrit","channels":[{"channel":"push"}]}', 1),
+        ("ACTION:d", '{"id":"d","name":"D","channels":[{"channel":"push","contentKey":"vtest-1"}]}', 1),
+        ("ACTION:e", '{"id":"e","name":"E","channels":[]}', 1),
+    ]
+    dim = ingest.parse_definition(spark.createDataFrame(docs, "key string, value string, updatedTs long"))
+    got = ingest.load_arms(dim).orderBy("arm").collect()
+    assert [(r.actionId, r.channel, r.group, r.drives, r.arm) for r in got] == [("a", "email", "engaged", "hraCompleted", 0), ("a", "sms", "engaged", "hraCompleted", 1), ("b", "push", "activated", None, 2)]
+
+
+def test_arm_lookup_falls_back_to_the_channel_and_can_hold(spark):
+    rows = [("m", "a", "email", True, False), ("m", "new", "sms", True, False), ("m", "a", "mail", True, False), ("n", "a", "email", False, False), ("n", "a", "sms", True, True), ("o", "a", "sms", True, False), ("p", "x", "email", True, False)]
+    c = spark.createDataFrame(rows, "entityId string, actionId string, channel string, eligible boolean, hardCompleted boolean")
+    artifact = {"arms": [{"actionId": "a", "channel": "email"}, {"actionId": "b", "channel": "sms"}, {"actionId": "a", "channel": "sms"}], "noop_index": 3}
+    q = spark.createDataFrame([("m", [0.1, 0.7, 0.2, 0.3]), ("n", [0.9, 0.9, 0.9, 0.1]), ("p", [0.2, 0.0, 0.0, 0.8])], "entityId string, q array<double>")
+    scored = learning.arm_scores(c, q, artifact, ["entityId"])
+    assert {(r.entityId, r.actionId, r.channel): r.score for r in scored.collect()} == {
+        ("m", "a", "email"): 0.1, ("m", "new", "sms"): 0.7, ("m", "__hold", "hold"): 0.3, ("o", "a", "sms"): 0.0, ("p", "x", "email"): 0.2, ("p", "__hold", "hold"): 0.8,
+    }
+    assert {(r.entityId, r.actionId) for r in learning.chosen_arm(scored, ["entityId"]).collect()} == {("m", "new"), ("o", "a"), ("p", "__hold")}
+
+
+def test_selection_equals_sorting(spark):
+    from tidemark.operators import selection
+
+    r = random.Random(4)
+    for values in ([], [None, float("nan")], [3.0], [2.0] * 50, [r.choice([0.0, 1e-300, 1.0, 1e300, -1e300, r.gauss(0, 1)]) for _ in range(700)], [1.0, math.nextafter(1.0, 2.0)] * 9):
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        known = sorted(x for x in values if x is not None and x == x)
+        for share in (0.0, 0.3, 0.5, 0.95, 1.0):
+            want = known[max(1, math.ceil(share * len(known))) - 1] if known else None
+            assert selection.value_at(df, "x", share) == want
+    rows = [(i * 0.5, r.randrange(9)) for i in range(200)]
+    got = selection.with_prefix(spark.createDataFrame(r.sample(rows, 200), "k double, n long"), "k", "n", "below").collect()
+    assert {x.k: x.below for x in got} == {k: sum(n for j, n in rows if j < k) for k, _ in rows}
+
+
+def test_clone_gate(spark):
+    rows = [(0.5, 0.6), (0.4, 0.6), (0.1, 0.11), (0.11, 0.14), (None, 0.5)]
+    got = [learning.clone_gate(spark.createDataFrame([x], "agreement double, cloneAgreement double")).first().promote for x in rows]
+    assert got == [True, False, False, False, False]
+
+
 def test_bootstrap_is_idempotent(spark, tmp_path):
     name = f"lake_{tmp_path.name.replace('-', '_')}"
     spark.sql(f"CREATE DATABASE {name} LOCATION 'file://{tmp_path}/{name}'")

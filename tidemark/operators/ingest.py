@@ -97,7 +97,7 @@ def normalize_inbound(raw: DataFrame, payload: str = "payload", default_ts: int
     """Canonical facts from records of several source dialects; unknown shapes and null values give none.
 
     The first dialect that fits decides: CRM export, billing row, product event, support ticket (or a support record without
-    one), canonical fact. Empty texts and bags count as absent where they identify a record. Values are typed by their text,
+    one), canonical fact. Empty texts and bags count as absent where they identify a record, and so does a time of 0. Values are typed by their text,
     but a canonical fact keeps the entity type and the value type that it names. Each record is parsed once.
     """
     j = F.col("j")
@@ -115,7 +115,7 @@ def normalize_inbound(raw: DataFrame, payload: str = "payload", default_ts: int
         return F.array(*[fact(F.lit(f"operator.{n}"), of[n]) for n in names])
 
     source = F.lower(F.coalesce(given("_src", "system", "source"), F.lit("unknown")))
-    ts = F.coalesce(*[given(n).try_cast("long") for n in ("ts", "eventTs", "timestamp")], F.lit(default_ts).cast("long"))
+    ts = F.coalesce(*[F.nullif(given(n).try_cast("long"), F.lit(0).cast("long")) for n in ("ts", "eventTs", "timestamp")], F.lit(default_ts).cast("long"))
     ticket = F.coalesce(j["ticket"], F.struct(*[j[n].alias(n) for n in TICKET]))
     dialect = (
         F.when(given("contactId", "contact_id").isNotNull() | source.startswith("crm"), "crm")
