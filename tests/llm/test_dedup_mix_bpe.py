@@ -4,7 +4,7 @@ import random
 import public_tokenizers
 import pytest
 
-from tidemark.llm import bpe, components, exact_dedup, mixing, simhash
+from tidemark.llm import bpe, components, exact_dedup, mixing, simhash, queries
 
 DOC = "doc_id long, text string, source string, keep_id string, size string"
 
@@ -167,3 +167,14 @@ def test_bpe_equals_the_public_encoder_and_round_trips(spark, chunk, overlap):
     want = sorted(repr((i, oracle(t or ""), (t or "").encode())) for i, t, _ in rows)
     assert sorted(repr((x.doc_id, x.ids, bytes(x.decoded))) for x in out) == want
     assert codec.encode(docs(spark, [])).count() == 0
+
+
+def test_texts_of_one_chunk_are_decoded_where_they_are_encoded(spark):
+    """A task of the query runs one Python worker with one vocabulary: no decoder follows the encoder of short texts."""
+    rows = [(0, "it's we'RE", "s"), (1, None, "s"), (2, "ab " * 40, "s"), (2, "ab " * 40, "s")]
+    codec = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 100, 20)
+    back, oracle = codec.round_trip(docs(spark, rows)), tiktoken_ids()
+    assert sorted(repr((x.doc_id, x.ids, bytes(x.decoded))) for x in back.collect()) == sorted(repr((i, oracle(t or ""), (t or "").encode())) for i, t, _ in rows)
+    plan = queries.token_digests(docs(spark, rows))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    place = {name: [i for i, line in enumerate(plan) if name in line] for name in ("Union", "ArrowEvalPython", "MapInArrow")}
+    assert place["Union"][0] < place["MapInArrow"][0] < place["ArrowEvalPython"][0]  # the decoder is in the branch of long texts only

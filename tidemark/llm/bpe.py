@@ -140,24 +140,39 @@ class ByteBpe:
 
         Equal texts have equal ids; rows may repeat and ids may be null. An empty table gives no rows.
         """
+        short, long = self._by_length(docs, id_col, text_col)
+        return self._map(short, "doc_id").unionByName(self._joined_long(long))
+
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, ids, decoded: what ``decode`` gives of what ``encode`` gives. Texts of one chunk are decoded from their ids where these
+        were made, so that a task needs one Python worker, with one vocabulary, and ids travel once."""
+        short, long = self._by_length(docs, id_col, text_col)
+        return self._map(short, "doc_id", decode=True).unionByName(self.decode(self._joined_long(long)))
+
+    def _by_length(self, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
         rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         is_long = F.char_length("text") > self.chunk_chars
-        short = self._map(rows.where(~is_long), "doc_id")
-        long = rows.where(is_long)
+        return rows.where(~is_long), rows.where(is_long)
+
+    def _joined_long(self, long: DataFrame) -> DataFrame:
         by_text = long.select("doc_id", F.sha2("text", 256).alias("key")).join(self._encode_long(long), "key")
-        return short.unionByName(by_text.select("doc_id", "ids"))
+        return by_text.select("doc_id", "ids")
 
-    def _map(self, rows: DataFrame, key: str) -> DataFrame:
+    def _map(self, rows: DataFrame, key: str, decode: bool = False) -> DataFrame:
         raw, pattern = self.raw, self.pattern
+        names = [key, "ids", *["decoded"] * decode]
 
         def run(batches):
             words = vocabulary(raw.value, pattern)
             for batch in batches:
                 for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
-                    ids = _ids_column([words.encode(x.as_py()) for x in part.column(1)])
-                    yield pa.RecordBatch.from_arrays([part.column(0), ids], [key, "ids"])
+                    ids = [words.encode(x.as_py()) for x in part.column(1)]
+                    columns = [part.column(0), _ids_column(ids)]
+                    if decode:
+                        columns.append(pa.array([words.decode(x) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-        return rows.select(key, "text").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, ids array<int>")
+        return rows.select(key, "text").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, ids array<int>" + ", decoded binary" * decode)
 
     def _encode_long(self, long: DataFrame) -> DataFrame:
         """key (the text's SHA-256), ids for each distinct text."""
