@@ -35,6 +35,9 @@ HEAD, ENDINGS, ENDING, WIDE = 4_000, 96, 3, 64
 #: batch (at least; at most twice as many), size of Adagrad's steps.
 CONTEXT, WIDTH, NOISE, BATCH, RATE, SEED = 3, 16, 24, 16_384, 0.1, 11
 
+#: Tokens whose softmax is taken at once, so that it stays in a core's cache.
+AT_ONCE = 2_048
+
 #: Averages of the tasks' models: each starts from the one before, so that tasks do not drift apart, however many they are.
 ROUNDS = 8
 
@@ -156,22 +159,33 @@ class Net:
         return [self.before, self.after, self.bias, self.group, self.group_bias, self.place]
 
     def predictions(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.before[b] * w for b, w in zip(before, self.place, strict=True))
+        weighted = [self.before * w for w in self.place]
+        ahead = weighted[0].take(before[0], axis=0)
+        for vectors, b in zip(weighted[1:], before[1:], strict=True):
+            ahead += vectors.take(b, axis=0)
+        return ahead
 
     def log10_p(self, classes: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Normalised log10 p of each class given those before it."""
-        ahead, of = self.predictions(before), classes // WIDE
-        out = _log_softmax_at(ahead @ self.group.T + self.group_bias, of).astype(np.float64)
-        for g, rows in _by_group(of):
+        order, found, starts = _runs(classes // WIDE)
+        classes, ahead = classes[order], np.ascontiguousarray(self.predictions(before[:, order]).T)
+        of, logs = classes // WIDE, np.empty(len(order))
+        for at in range(0, len(order), AT_ONCE):
+            rows = slice(at, at + AT_ONCE)
+            logs[rows] = _log_softmax_at(self.group @ ahead[:, rows] + self.group_bias[:, None], of[rows])
+        for g, rows in zip(found.tolist(), _slices(starts, len(order)), strict=True):
             part = slice(g * WIDE, (g + 1) * WIDE)
-            out[rows] += _log_softmax_at(ahead[rows] @ self.after[part].T + self.bias[part], classes[rows] - g * WIDE)
+            logs[rows] += _log_softmax_at(self.after[part] @ ahead[:, rows] + self.bias[part, None], classes[rows] - g * WIDE)
+        out = np.empty(len(order))
+        out[order] = logs
         return out / math.log(10)
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    chosen = logits[np.arange(len(at)), at]
-    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
+    """Of each column of ``logits`` the log of the softmax at row ``at``."""
+    logits -= logits.max(axis=0)
+    chosen = logits[at, np.arange(len(at))]
+    return chosen - np.log(np.exp(logits, out=logits).sum(axis=0))
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,24 +195,33 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.argsort(keys, kind="stable"), found, (np.cumsum(n) - n)[found]
 
 
-def _by_group(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order, found, starts = _runs(of)
-    return zip(found.tolist(), np.split(order, starts[1:]), strict=True)
-
-
-def _nce(ahead, target, vectors, bias, chance, noise, rng):
-    """Gradients of the NCE objective by (ahead, vectors, bias): real targets against ``noise`` classes drawn by ``chance``."""
-    drawn = np.minimum(np.searchsorted(np.cumsum(chance), rng.random(noise)), len(chance) - 1)
-    offset = (bias - np.log(noise * chance)).astype(np.float32)
-    real, false = vectors[target], vectors[drawn]
-    up = 1 / (1 + np.exp((ahead * real).sum(axis=1) + offset[target]))
-    down = -1 / (1 + np.exp(-(ahead @ false.T + offset[drawn])))
-    picked = np.zeros((len(vectors), len(target)), np.float32)
-    picked[target, np.arange(len(target))] = up
-    by_vectors, by_bias = picked @ ahead, picked.sum(axis=1)
-    np.add.at(by_vectors, drawn, down.T @ ahead)
-    np.add.at(by_bias, drawn, down.sum(axis=0))
-    return up[:, None] * real + down @ false, by_vectors, by_bias
+def _slices(starts: np.ndarray, n: int) -> list[slice]:
+    return [slice(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)]
+
+
+def _nce(ahead, target, vectors, bias, chance, parts, drawn):
+    """Gradients of the NCE objective by (ahead, vectors, bias): real targets, in ascending order, against classes ``drawn`` by ``chance``
+    for each of ``parts`` (slices of the rows)."""
+    offset = (bias - np.log(drawn.shape[1] * chance)).astype(np.float32)
+    real, false = vectors.take(target, axis=0), vectors[drawn]
+    up = 1 / (1 + np.exp(np.einsum("ij,ij->i", ahead, real) + offset[target]))
+    down = np.empty((len(target), drawn.shape[1]), np.float32)
+    for rows, vs, o in zip(parts, false, offset[drawn], strict=True):
+        np.subtract(ahead[rows] @ -vs.T, o, out=down[rows])
+    np.exp(down, out=down)
+    down += 1
+    np.divide(-1, down, out=down)
+    back = up[:, None] * real
+    by_vectors, by_bias = np.zeros_like(vectors), np.zeros_like(bias)
+    _, found, starts = _runs(target)
+    by_vectors[found], by_bias[found] = np.add.reduceat(up[:, None] * ahead, starts), np.add.reduceat(up, starts)
+    of_drawn = np.empty_like(false)
+    for rows, vs, out in zip(parts, false, of_drawn, strict=True):
+        back[rows] += down[rows] @ vs
+        np.matmul(down[rows].T, ahead[rows], out=out)
+    np.add.at(by_vectors, drawn.ravel(), of_drawn.reshape(-1, vectors.shape[1]))
+    np.add.at(by_bias, drawn.ravel(), np.add.reduceat(down, [rows.start for rows in parts]).ravel())
+    return back, by_vectors, by_bias
 
 
 class Trainer:
@@ -208,17 +231,24 @@ class Trainer:
         self.net, self.squares, self.noise, self.rate, self.rng = net, squares, noise, rate, np.random.default_rng([SEED, *seed])
         self.seen = [np.zeros(len(net.often)), np.zeros(len(net.often))]
         self.of_group = np.add.reduceat(net.often, np.arange(0, len(net.often), WIDE))
+        self.before_group = np.cumsum(self.of_group) - self.of_group
+
+    def _drawn(self, often: np.ndarray, begin: np.ndarray, share: np.ndarray, end: np.ndarray | int) -> np.ndarray:
+        """Noise for each part, drawn as ``often`` says from the stretch of its running sum that is ``share`` long and ends before class ``end``."""
+        at = begin[:, None] + self.rng.random((len(begin), self.noise)) * share[:, None]
+        return np.minimum(np.searchsorted(np.cumsum(often), at), end - 1)
 
     def step(self, classes: np.ndarray, before: np.ndarray) -> None:
-        net, of = self.net, classes // WIDE
-        ahead = net.predictions(before)
+        net, order = self.net, np.argsort(classes, kind="stable")
+        classes, before = classes[order], before[:, order]
+        of, ahead = classes // WIDE, net.predictions(before)
         grads = [np.zeros_like(p) for p in net.params()]
-        back, grads[3], grads[4] = _nce(ahead, of, net.group, net.group_bias, self.of_group / self.of_group.sum(), self.noise, self.rng)
-        for g, rows in _by_group(of):
-            part = slice(g * WIDE, (g + 1) * WIDE)
-            chance = net.often[part] / self.of_group[g]
-            more, grads[1][part], grads[2][part] = _nce(ahead[rows], classes[rows] - g * WIDE, net.after[part], net.bias[part], chance, self.noise, self.rng)
-            back[rows] += more
+        back, grads[3], grads[4] = _nce(ahead, of, net.group, net.group_bias, self.of_group / self.of_group.sum(), [slice(0, len(of))], self._drawn(self.of_group, np.zeros(1), self.of_group.sum(keepdims=True), len(self.of_group)))
+        _, found, starts = _runs(of)
+        chance = net.often / np.repeat(self.of_group, WIDE)[: len(net.often)]
+        drawn = self._drawn(net.often, self.before_group[found], self.of_group[found], np.minimum((found[:, None] + 1) * WIDE, len(net.often)))
+        more, grads[1], grads[2] = _nce(ahead, classes, net.after, net.bias, chance, _slices(starts, len(of)), drawn)
+        back += more
         for k, (b, weight) in enumerate(zip(before, net.place, strict=True)):
             order, found, starts = _runs(b)
             grads[0][found] += np.add.reduceat(back[order], starts) * weight
