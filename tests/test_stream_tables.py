@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import DAY_MS
 from tidemark.operators import ingest, reports
+from tidemark.sources import streams
 from tidemark.streaming import definitions, feedback, metrics, spine, topics
 
 NOW, WEEK = 20 * DAY_MS + 5_000, 7 * DAY_MS
@@ -95,6 +96,23 @@ def test_hop_windows_equal_a_plain_loop(spark, steps):
     assert {tuple(x) for x in got} == want and len(got) == len(want) > 20
 
 
+def test_hops_of_one_stream_keep_a_set_for_each_entity_and_step(spark):
+    """Samples of a dense and repeated history, across steps and arrivals, are those of a plain loop, each in its step; the only state is that of the sets."""
+    r = random.Random(4)
+    rows = [(f"m{r.randrange(3)}", r.choice(["a", "b", "c", "d"]), i, 1_000_000 + r.randrange(200_000)) for i in range(200)]
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")]
+    df = spark.createDataFrame(rows + rows[:30], "entityId string, node string, id long, ts long")
+    topic = topics.publish(df, "hops", ["entityId", "node"], steps=2, idle_ms=300_000)
+    live, got = topic.stream(spark), []
+    samples = metrics.hop_samples(live, live, edges, 20_000, 10_000).select("edge", F.unix_millis("at").alias("at"), "ms")
+    query = streams.run_available_now(samples, topics.new_folder(spark, "hops-checkpoint"), lambda b, _: got.extend(map(tuple, b.collect())))
+    want = [(edge, ts // 10_000, ms) for edge, ts, ms in plain_hops(rows, edges, 20_000)]
+    assert sorted((e, at // 10_000, ms) for e, at, ms in got) == sorted(want) and len(want) > 100
+    assert all(len(p.stateOperators) == 1 for p in query.recentProgress)
+    keys = {(m, k) for m, _, _, ts in rows for k in range(ts // 10_000, ts // 10_000 + 3)}
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= len(keys) + 3
+
+
 def test_sketches_merge_and_stay_within_a_sixty_fourth(spark):
     df = spark.range(0, 60_000, 7).select(F.col("id").alias("ms"), metrics.bucket(F.col("id")).alias("low"))
     assert df.where("low > ms OR ms - low > low / 64 OR (ms < 64 AND low <> ms)").count() == 0

@@ -76,7 +76,8 @@ EDGES = [("lake", "snapshot"), ("snapshot", "rules"), ("lake", "rules"), ("rules
 def t20_live_hops(spark, sf_dir):
     """Hop latencies of at most a minute in windows of a day, every 12 hours."""
     topic = topics.publish(stages(spark, sf_dir), "stages", ["entityId", "node"], idle_ms=3 * DAY)
-    samples = metrics.hop_samples(topic.stream(spark), topic.stream(spark), EDGES, 60_000)
+    live = topic.stream(spark)
+    samples = metrics.hop_samples(live, live, EDGES, 60_000, HOUR // 12)
     return topics.drain(metrics.hop_windows(samples, "24 hours", "12 hours"), "hops")
 
 
